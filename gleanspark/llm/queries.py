@@ -81,7 +81,7 @@ g AS (
     string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS said,
     coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS loss,
     sum(length(role) + length(CASE WHEN contains(text, '<|im_start|>') OR contains(text, '<|im_end|>') OR regexp_matches(text, '<\\+\|')
-        THEN regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g') ELSE text END) + 25) AS chars
+        THEN regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g') ELSE text END) + 24) AS chars
   FROM t GROUP BY conv_id)
 SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256,
   chars::BIGINT AS formatted_chars
