@@ -13,7 +13,7 @@ task, in order and as a stream: memory holds one turn and the running digests, h
 conversation is. All that is reported is read back from the rendered text.
 
 Defined cases: a null text or role is empty; a null conv_id is a conversation of its own; turns are
-ordered by turn (null first), role, text; repeated rows are turns of their own; an empty table leaves
+ordered by turn (null first), role, rendered text; repeated rows are turns of their own; an empty table leaves
 the extra rows only.
 """
 
@@ -87,14 +87,14 @@ def render(role: str, content: str) -> str:
 
 
 def rendered_turns(turns: DataFrame) -> DataFrame:
-    """(conv_id, turn, role, text, formatted) for every row of turns."""
+    """(conv_id, turn, role, formatted) for every row of turns."""
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
     def make(batch: pa.RecordBatch) -> list:
         pairs = zip(batch.column(2), batch.column(3))
-        return [*batch.columns, [render(a.as_py(), b.as_py()) for a, b in pairs]]
+        return [*batch.columns[:3], [render(a.as_py(), b.as_py()) for a, b in pairs]]
 
-    return map_arrow(rows, "conv_id long, turn long, role string, text string, formatted string", make)
+    return map_arrow(rows, "conv_id long, turn long, role string, formatted string", make)
 
 
 def extra_conversation(spark: SparkSession) -> DataFrame:
@@ -105,7 +105,7 @@ def extra_conversation(spark: SparkSession) -> DataFrame:
 def digests(turns: DataFrame) -> DataFrame:
     """(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars), read back from the rendered turns."""
     formatted = rendered_turns(turns)
-    ordered = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "formatted")
+    ordered = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "formatted").select("conv_id", "formatted")
     schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
     def run(batches):
@@ -148,5 +148,5 @@ def _batch(rows: list[list]) -> pa.RecordBatch:
 
 def conversations(turns: DataFrame) -> DataFrame:
     """(conv_id, formatted): whole conversations as training text, for conversations that fit in a row."""
-    gathered = rendered_turns(turns).groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text", "formatted"))).alias("t"))
+    gathered = rendered_turns(turns).groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "formatted"))).alias("t"))
     return gathered.select("conv_id", F.array_join(F.transform("t", lambda x: x["formatted"]), "").alias("formatted"))

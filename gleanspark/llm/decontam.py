@@ -11,8 +11,8 @@ windows: a larger benchmark makes more blocks, each one pass over the texts, nev
 
 Defined cases: null and wordless texts have no words and no hits; a wordless item has no window; items
 with the same words all count; a null item_id has no name and is left out of n_items and the digest;
-rows that repeat an item_id are one item; rows that repeat a doc_id are reported one by one where one
-block holds the benchmark, and as one otherwise. Empty tables give no rows, or no hits.
+rows that repeat an item_id are one item; rows that repeat a doc_id are reported one by one. Empty
+tables give no rows, or no hits.
 """
 
 from __future__ import annotations
@@ -131,6 +131,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
         return map_arrow(rows, schema, whole)
 
+    rows = rows.withColumn("digest", F.md5("text"))
     found = None
     for index in parts:
 
@@ -141,12 +142,16 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
                 spans = at.spans(w)
                 owners = sorted({at.names[k] for s in spans for k in s[2]} - {None})
                 got.append((len(w), [{"a": a, "b": b} for a, b in sorted({s[:2] for s in spans})], owners))
-            return [batch.column(0), *map(list, zip(*got))]
+            return [batch.column(0), batch.column(2), *map(list, zip(*got))]
 
-        part = map_arrow(rows, "doc_id long, n_words long, spans array<struct<a:int,b:int>>, names array<string>", piece)
+        part = map_arrow(rows, "doc_id long, digest string, n_words long, spans array<struct<a:int,b:int>>, names array<string>", piece)
         found = part if found is None else found.unionByName(part)
-    # A document's spans per block are bounded by its own words; only ids and spans are exchanged.
-    joined = found.groupBy("doc_id", "n_words").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("names"))).alias("names"))
+    # Rows with one id and one text have equal spans, so a set holds one list a block, however many rows there
+    # are. Lists are bounded by a text's own words; ids and spans are all that is exchanged.
+    joined = found.groupBy("doc_id", "digest", "n_words").agg(
+        F.flatten(F.collect_set("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_set("names"))).alias("names"), (F.count("*") / len(parts)).cast("int").alias("rows")
+    )
+    joined = joined.withColumn("again", F.explode(F.array_repeat(F.lit(1), F.col("rows")))).select("doc_id", "n_words", "spans", "names")
 
     def total(batch: pa.RecordBatch) -> list:
         got = []

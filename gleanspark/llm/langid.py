@@ -240,7 +240,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                 chunk.append(texts[start].as_py())
                 held += len(chunk[-1] or b"")
                 start += 1
-            p = posteriors(scorer, chunk)
+            p = posteriors(scorer, chunk) if langs else np.zeros((len(chunk), 1))
             for t, row in zip(chunk, p):
                 known = bool(langs) and row.any() and has_letter(t)
                 names.append(langs[int(row.argmax())] if known else "und")

@@ -115,7 +115,8 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     solved = multipliers(histogram.df, aimed, copies)
     histogram.drop()
 
-    rows = small.df.join(solved.df.select("key", "mean", "lambda", "target"), "key")
+    # Rounded, so that the order of summation doesn't show.
+    rows = small.df.join(solved.df.select("key", "mean", F.round("lambda", 12).alias("lambda"), "target"), "key")
     r = rate(F.col("size"), F.col("mean"), F.col("lambda"), copies)
     rows = rows.select("key", "size", "target", F.floor(r).alias("whole"), _ratio(r, F.col("chance")).alias("ratio"))
     # Ratios of 2 and more need more words than the target can lack; the last bin takes them, so no row is lost.
@@ -136,7 +137,7 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     floor_cut = critical.df.select("key", (F.col("bin") * (2.0 / BINS) - 1e-12).alias("floor"))
     # Without a bin that reaches the target, every fraction is taken.
     cuts = solved.df.join(floor_cut, "key", "left").join(cut_rows, "key", "left")
-    final = Cut(cuts.select("key", "source_size", "target", "mean", "lambda", F.coalesce("cut", "floor", F.lit(float("inf"))).alias("cut")))
+    final = Cut(cuts.select("key", "source_size", "target", "mean", F.round("lambda", 12).alias("lambda"), F.coalesce("cut", "floor", F.lit(float("inf"))).alias("cut")))
     for done in (solved, sums, critical):
         done.drop()
     return small, final

@@ -36,7 +36,7 @@ WINDOW = 8
 #: Openers and closers of quotation, and words of reporting.
 QUOTES = "\"“”„«»‘’‹›"
 REPORTING = frozenset(("said", "says", "called", "quote", "quoted", "word", "term", "wrote", "dit", "sagte", "dijo"))
-_CACHE = 100_000
+_CACHE, _CACHED_LENGTH = 100_000, 40
 
 
 class Lexicon:
@@ -113,9 +113,10 @@ class Lexicon:
                 near = self.fuzzy[state]
         if found is None and near >= 0:
             found = (near, 1)
-        if len(self.cache) >= _CACHE:
-            self.cache.clear()
-        self.cache[word] = found
+        if len(word) <= _CACHED_LENGTH:
+            if len(self.cache) >= _CACHE:
+                self.cache.clear()
+            self.cache[word] = found
         return found
 
 
@@ -142,15 +143,25 @@ def hits(lexicon: Lexicon, text: str) -> list[tuple[int, int, int, int, bool]]:
 N_FEATURES = 9
 
 
+def densest(starts: list[int], span: int = 12 * WINDOW) -> int:
+    """The most hits that start within one window; starts ascend."""
+    most = first = 0
+    for i, at in enumerate(starts):
+        while at - starts[first] > span:
+            first += 1
+        most = max(most, i - first + 1)
+    return most
+
+
 def evidence(lexicon: Lexicon, weights: list[float], text: str | None) -> list[float]:
-    """The counts that the logistic model weighs."""
-    text = text or ""
+    """The counts that the logistic model weighs; case is ignored."""
+    text = (text or "").lower()
     got = hits(lexicon, text)
     if not got:
         return [0.0] * N_FEATURES
     open_, quoted = [h for h in got if not h[4]], [h for h in got if h[4]]
     exact, fuzzy = [h for h in open_ if not h[3]], [h for h in open_ if h[3]]
-    close = max((sum(1 for k in open_ if 0 <= k[0] - h[0] <= 12 * WINDOW) for h in open_), default=0)
+    close = densest([h[0] for h in open_])
     total = sum(weights[h[2]] for h in exact)
     return [
         float(bool(exact)),
@@ -159,7 +170,7 @@ def evidence(lexicon: Lexicon, weights: list[float], text: str | None) -> list[f
         float(bool(fuzzy)),
         math.log1p(len(fuzzy)),
         math.log1p(len(quoted)),
-        math.log1p(close) if len(open_) <= 2000 else math.log1p(WINDOW),
+        math.log1p(close),
         math.log1p(max(0.0, total)),
         math.log1p(1000.0 * len(exact) / max(40, len(text))),
     ]
@@ -213,7 +224,7 @@ def _beginnings(df: DataFrame, wanted: frozenset | None) -> DataFrame:
         for batch in batches:
             for x in batch.column(0):
                 got = set()
-                for w in set(WORD.findall(x.as_py() or "")):
+                for w in set(WORD.findall((x.as_py() or "").lower())):
                     got.update(w[:k] for k in range(SHORTEST, min(LONGEST, len(w)) + 1))
                 for t in got if wanted is None else got & wanted:
                     count[t] = count.get(t, 0) + 1
@@ -249,7 +260,7 @@ class Model:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_train: int = MAX_TRAIN) -> Model:
     known, _ = sampled_labels(labels, "toxic", max_train, 5, 0)
     # The sample's bound is what makes this broadcast safe.
-    texts = docs.select(F.col(id_col).cast("long").alias("__gs_id"), F.lower(F.col(text_col)).alias("text"))
+    texts = docs.select(F.col(id_col).cast("long").alias("__gs_id"), F.col(text_col).alias("text"))
     rows = Cut(texts.join(F.broadcast(known), "__gs_id").select("text", "__gs_y"))
     size = {r[0]: r[1] for r in rows.df.groupBy("__gs_y").count().collect()}
     n_pos, n_neg = size.get(1, 0), size.get(0, 0)
@@ -276,7 +287,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score, predicted, n_exact, n_fuzzy, n_quoted) for every row."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lower(F.col(text_col)).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     entries, odds, weights = model.entries, model.odds, model.weights
     made: list[Lexicon] = []
 
@@ -303,7 +314,7 @@ def reject_toxic(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col
             if not made:
                 made.append(Lexicon(entries))
             text = [t.as_py() for t in batch.column(at)]
-            x = np.array([evidence(made[0], odds, t.lower() if t else t) for t in text]).reshape(len(text), N_FEATURES)
+            x = np.array([evidence(made[0], odds, t) for t in text]).reshape(len(text), N_FEATURES)
             yield batch.filter(pa.array(weights[0] + x @ np.array(weights[1:]) < 0))
 
     return docs.mapInArrow(run, fields)

@@ -48,7 +48,7 @@ def test_cascade_order_does_not_change_verdicts():
     every = rules.BASE_RULES + rules.MORE_RULES
     texts = [t.encode() if t is not None else None for t in SAMPLES]
     for order in (every, every[::-1]):
-        assert [rules.verdict(rules.Text(t), list(order)) is None for t in texts] == [rules.verdict(rules.Text(t), rules.plan(texts, every)) is None for t in texts]
+        assert [rules.verdict(rules.Text(t), list(order)) is None for t in texts] == [rules.verdict(rules.Text(t), rules.plan({n: (r, s) for n, r, s in rules.measure(texts, every)}, every)) is None for t in texts]
 
 
 def test_cascade_prefers_rejections_per_cost():
@@ -58,7 +58,8 @@ def test_cascade_prefers_rejections_per_cost():
         time.sleep(0.002)
         return True
 
-    order = rules.plan([b"x"] * 5, (rules.Rule("slow", slow), rules.Rule("never", lambda t: False), rules.Rule("always", lambda t: True)))
+    three = (rules.Rule("slow", slow), rules.Rule("never", lambda t: False), rules.Rule("always", lambda t: True))
+    order = rules.plan({n: (r, s) for n, r, s in rules.measure([b"x"] * 5, three)}, three)
     assert order[0].name == "always"
 
 
@@ -163,7 +164,7 @@ def test_conversations(spark):
     got = {r.conv_id: r for r in chat.digests(turns).collect()}
     assert set(got) == {1, 2, 3, None}
     for conv, r in got.items():
-        mine = sorted(((-1 if t is None else t, role or "", text or "") for c, t, role, text in rows if c == conv))
+        mine = sorted(((-1 if t is None else t, role or "", text or "") for c, t, role, text in rows if c == conv), key=lambda x: (*x[:2], chat.render(*x[1:])))
         said = "".join(f"{role}\n{text}\n" for _, role, text in mine)
         loss = "".join(text for _, role, text in mine if role == "assistant")
         assert (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) == (len(mine), hashlib.sha256(said.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
@@ -206,6 +207,7 @@ def test_contamination_equals_plain(spark, make, block):
         t = rng.choices(vocabulary, k=rng.randrange(60))
         t[len(t) // 2 : len(t) // 2] = (items[rng.randrange(12)][1].upper().replace(" ", ", ")).split(" ")[: rng.randrange(30)]
         texts.append(rng.choice([" ", "-", "\n\n"]).join(t))
+    texts += [texts[-1]] * 2
     bench = spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", chat.F.lit(1))
     got = {r.doc_id: tuple(r)[1:] for r in decontam.contamination(make(list(enumerate(texts))), bench, block_windows=block).collect()}
     assert len(got) == len(texts)
