@@ -42,7 +42,7 @@ def mapped(cm: DataFrame, names: DataFrame) -> DataFrame:
     """The matrix with labels renamed by names(label, name); labels without a name go."""
     a = names.select(F.col("label").cast("string").alias("actual"), F.col("name").alias("a"))
     p = names.select(F.col("label").cast("string").alias("predicted"), F.col("name").alias("p"))
-    return cm.join(F.broadcast(a), "actual").join(F.broadcast(p), "predicted").select(F.col("a").alias("actual"), F.col("p").alias("predicted"), "n")
+    return cm.join(a, "actual").join(p, "predicted").select(F.col("a").alias("actual"), F.col("p").alias("predicted"), "n")
 
 
 def precisions(cm: DataFrame) -> DataFrame:
