@@ -46,6 +46,11 @@ def vocab(posts: DataFrame, docs: DataFrame, use_tfidf: bool = True) -> DataFram
     return counted.select("term", "df", (T.idf(F.col("df"), total_docs(docs)) if use_tfidf else F.lit(0.0)).alias("idf"), "first_at")
 
 
+def terms(docs: DataFrame) -> DataFrame:
+    """(term), distinct: all that a gram index needs."""
+    return tokens(docs).select("term").distinct()
+
+
 def head(vocabulary: DataFrame, n: int = 10, start: int = 0) -> DataFrame:
     """Terms start..n by first appearance; n of 0 or less means all."""
     ordered = vocabulary.orderBy(F.desc("first_at"))
@@ -88,9 +93,10 @@ def merge(posts: DataFrame, vocabulary: DataFrame, new_docs: DataFrame, update_t
     cnt = F.coalesce("cnt", F.lit(0)) + F.coalesce("n", F.lit(0))
     fresh = T.tf(cnt) if update_tf else F.coalesce("tf", F.lit(0.0))
     merged = both.select("term", "doc_id", cnt.alias("cnt"), F.coalesce("first_pos", "p").alias("first_pos"), F.when(F.col("n").isNull(), F.col("tf")).otherwise(fresh).alias("tf"))
-    gained = delta.join(posts, ["term", "doc_id"], "left_anti").groupBy("term").agg(F.count("*").alias("more"))
-    first = merged.groupBy("term").agg(F.max(F.struct(F.col("doc_id"), (-F.col("first_pos")).alias("back"))).alias("new_at"))
-    terms = vocabulary.join(gained, "term", "full_outer").join(first, "term", "left")
+    # Only the terms of the new documents change: what is aggregated follows their size, not the index's.
+    fresh_rows = both.where(F.col("cnt").isNull()).groupBy("term")
+    gained = fresh_rows.agg(F.count("*").alias("more"), F.max(F.struct(F.col("doc_id"), (-F.col("p")).alias("back"))).alias("new_at"))
+    terms = vocabulary.join(gained, "term", "full_outer")
     return merged, terms.select(
         "term",
         (F.coalesce("df", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("df"),
@@ -115,4 +121,4 @@ def document_vectors(posts: DataFrame, vocabulary: DataFrame) -> DataFrame:
     starts = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("start"))
     inside = F.row_number().over(Window.partitionBy("part").orderBy(F.desc("first_at")))
     dims = ranged.withColumn("at", inside).join(F.broadcast(starts), "part").select("term", (F.col("start") + F.col("at") - 1).alias("dim"))
-    return posts.join(dims, "term").select("doc_id", "dim", "cnt")
+    return posts.join(dims.hint("shuffle_hash"), "term").select("doc_id", "dim", "cnt")

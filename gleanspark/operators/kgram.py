@@ -27,6 +27,18 @@ def words_count(grams: DataFrame) -> int:
     return grams.count()
 
 
+def expand_all(grams: DataFrame, patterns: dict[int, str], k: int = 2) -> DataFrame:
+    """(q_ord, term): the expansions of numbered patterns in one pass over the grams that any of them holds."""
+    wanted = {i: sorted(set(T.wildcard_grams(p, k))) for i, p in patterns.items()}
+    every = sorted({g for gs in wanted.values() for g in gs})
+    # A term's list holds at most the grams of the patterns.
+    found = grams.where(F.col("gram").isin(every) if every else F.lit(False)).groupBy("term").agg(F.collect_set("gram").alias("gs"))
+    hits = [F.when(F.size(F.array_intersect("gs", F.array(*[F.lit(g) for g in gs]))) == len(gs), F.lit(i)) for i, gs in wanted.items() if gs]
+    if not hits:
+        return found.select(F.lit(0).alias("q_ord"), "term").limit(0)
+    return found.select(F.explode(F.array_compact(F.array(*hits))).alias("q_ord"), "term")
+
+
 def expand(grams: DataFrame, pattern: str, k: int = 2, exact: bool = False) -> DataFrame:
     """(term): words that hold every gram of the pattern, a division by the set of its grams.
 

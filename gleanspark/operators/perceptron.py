@@ -73,7 +73,7 @@ def train(docs: DataFrame, compat: bool = False, shards: int = 1) -> DataFrame:
 
 def predict(docs: DataFrame, weights: DataFrame) -> DataFrame:
     """(doc_id, total, label): 1 where the summed weights of all token occurrences are over 0, else -1; unknown terms weigh 0."""
-    known = index.tokens(docs).join(weights, "term").groupBy("doc_id").agg(F.sum("weight").alias("total"))
+    known = index.tokens(docs).join(weights.hint("shuffle_hash"), "term").groupBy("doc_id").agg(F.sum("weight").alias("total"))
     all_ids = docs.select("doc_id").distinct()
     total = F.coalesce("total", F.lit(0.0))
     return all_ids.join(known, "doc_id", "left").select("doc_id", total.alias("total"), F.when(total > 0, 1).otherwise(-1).alias("label"))

@@ -34,12 +34,10 @@ def query_terms(posts: DataFrame, grams: DataFrame | None, query: list[str], wil
     spark = posts.sparkSession
     plain = [(i, T.normalize_text(q)) for i, q in enumerate(query) if not (wildcard and "*" in q)]
     out = spark.createDataFrame(plain, "q_ord int, term string")
-    for i, q in enumerate(query):
-        if wildcard and "*" in q:
-            if grams is None:
-                raise ValueError("wildcards need a gram index")
-            out = out.unionByName(kgram.expand(grams, q).select(F.lit(i).alias("q_ord"), "term"))
-    return out
+    starred = {i: q for i, q in enumerate(query) if wildcard and "*" in q}
+    if starred and grams is None:
+        raise ValueError("wildcards need a gram index")
+    return out.unionByName(kgram.expand_all(grams, starred)) if starred else out
 
 
 def matches(posts: DataFrame, query: str | list[str], grams: DataFrame | None = None, wildcard: bool = False, mode: str = "and") -> DataFrame:

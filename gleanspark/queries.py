@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from .functions import editdist, lists
 from .functions import text as T
 from .operators import evaluate, index, kgram, kmeans, perceptron, search
+from .sources.readers import spread
 from .streaming.index_stream import IndexStream
 
 AND_QUERY, OR_QUERY = ["the", "of", "in"], ["the information of", "with"]
@@ -26,7 +27,7 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", "text")
+    return spread(table(spark, d, "documents").select("doc_id", "text"))
 
 
 def items(spark: SparkSession, d: str) -> DataFrame:
@@ -87,11 +88,11 @@ def merge_refresh_idf(spark, d):
 
 
 def bool_and(spark, d):
-    return search.matches(index.postings(docs(spark, d)), AND_QUERY)
+    return search.matches(index.tokens(docs(spark, d)), AND_QUERY)
 
 
 def bool_or(spark, d):
-    return search.matches(index.postings(docs(spark, d)), OR_QUERY, mode="or")
+    return search.matches(index.tokens(docs(spark, d)), OR_QUERY, mode="or")
 
 
 def posting_intersect(spark, d):
@@ -131,32 +132,32 @@ def regex_pages(spark, d):
 
 
 def kgram_index(spark, d):
-    return kgram.gram_index(_vocab(spark, d)[1])
+    return kgram.gram_index(index.terms(docs(spark, d)))
 
 
 def kgram3_index(spark, d):
-    return kgram.gram_index(_vocab(spark, d)[1], 3)
+    return kgram.gram_index(index.terms(docs(spark, d)), 3)
 
 
 def kgram_words(spark, d):
-    return kgram.words_of(kgram.gram_index(_vocab(spark, d)[1])).select("gram", F.array_join(F.slice("words", 1, 3), " ").alias("first_words"), F.size("words").alias("n"))
+    return kgram.words_of(kgram.gram_index(index.terms(docs(spark, d)))).select("gram", F.array_join(F.slice("words", 1, 3), " ").alias("first_words"), F.size("words").alias("n"))
 
 
 def kgram_word_count(spark, d):
-    return kgram.word_counts(kgram.gram_index(_vocab(spark, d)[1]))
+    return kgram.word_counts(kgram.gram_index(index.terms(docs(spark, d))))
 
 
 def wildcard_expand(spark, d):
-    return kgram.expand(kgram.gram_index(_vocab(spark, d)[1]), WILDCARD)
+    return kgram.expand(kgram.gram_index(index.terms(docs(spark, d))), WILDCARD)
 
 
 def wildcard_exact(spark, d):
-    return kgram.expand(kgram.gram_index(_vocab(spark, d)[1]), WILDCARD, exact=True)
+    return kgram.expand(kgram.gram_index(index.terms(docs(spark, d))), WILDCARD, exact=True)
 
 
 def wildcard_and(spark, d):
-    posts, terms = _vocab(spark, d)
-    return search.matches(posts, WILDCARDS, kgram.gram_index(terms), wildcard=True)
+    words = index.tokens(docs(spark, d))
+    return search.matches(words, WILDCARDS, kgram.gram_index(index.terms(docs(spark, d))), wildcard=True)
 
 
 def lev_pairs(spark, d):
@@ -294,8 +295,7 @@ def kmeans_closest(spark, d):
 
 
 def _hashed_weights(spark, d):
-    terms = index.tokens(docs(spark, d)).select("term").distinct()
-    return terms.select("term", perceptron.first_weight_column(F.col("term")).alias("weight"))
+    return index.terms(docs(spark, d)).select("term", perceptron.first_weight_column(F.col("term")).alias("weight"))
 
 
 def perceptron_predict(spark, d):

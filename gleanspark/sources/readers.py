@@ -28,6 +28,16 @@ def parquet_docs(spark: SparkSession, path: str, id_col: str = "doc_id", text_co
     return spark.read.parquet(path).withColumnsRenamed({id_col: "doc_id", text_col: "text"})
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df as it is, or dealt out once where it arrives in fewer partitions than there are cores.
+
+    A file of one row group is read by one task however many cores there are; tokenizing in that task would
+    leave the others idle. Inputs of many files or row groups are not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def read_reviews(spark: SparkSession, path: str) -> DataFrame:
     """Tab-separated label and text -> (doc_id, text, label, labels); pos is 1, neg is -1, ids follow the file's order."""
     raw = spark.read.csv(path, sep="\t", schema="said string, text string", quote="")
