@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from . import textstats as S
 from .common import map_arrow
 
-#: Rows that cost and selectivity are estimated on, at most.
-SAMPLE_ROWS = 300
+#: Rows that cost and selectivity are estimated on, at most, and the longest of them. They bound what the driver holds.
+SAMPLE_ROWS, SAMPLE_LENGTH = 300, 50_000
 
 
 @dataclass(frozen=True)
@@ -112,19 +112,12 @@ def plan(measured: dict[str, tuple[int, float]], rules: tuple[Rule, ...]) -> lis
 
 
 def sampled_order(rows: DataFrame, rules: tuple[Rule, ...], sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """plan() on a bounded sample. It is measured where it lies: only counts and seconds come to the driver."""
-
-    def run(batches):
-        for batch in batches:
-            got = measure([x.as_py() for x in batch.column(0)], rules)
-            yield pa.RecordBatch.from_pydict({"rule": [g[0] for g in got], "rejected": pa.array([g[1] for g in got], pa.int64()), "seconds": [g[2] for g in got]})
-
-    sample = rows.select("text").sample(0.1, seed=7).limit(sample_rows).mapInArrow(run, "rule string, rejected long, seconds double")
-    measured: dict[str, tuple[int, float]] = {}
-    for r in sample.collect():
-        n, s = measured.get(r.rule, (0, 0.0))
-        measured[r.rule] = (n + r.rejected, s + r.seconds)
-    return plan(measured, rules)
+    """plan() on at most `sample_rows` texts of at most SAMPLE_LENGTH characters.
+
+    The top-level limit reads partitions until it has enough, so the corpus is not scanned for its sample.
+    """
+    sample = rows.where(F.length(F.col("text").cast("string")) <= SAMPLE_LENGTH).select("text").sample(0.1, seed=7).limit(sample_rows).collect()
+    return plan({n: (r, s) for n, r, s in measure([bytes(x.text) for x in sample], rules)}, rules)
 
 
 def verdict(text: Text, rules: list[Rule]) -> str | None:
