@@ -4,7 +4,8 @@ The pieces are those of a fixed public vocabulary (a tiktoken rank file, whose p
 bytes. Each language has a probability for every piece; the probability of a word is the sum over all its
 segmentations into pieces, by the forward algorithm. Learning is expectation maximisation: forward and
 backward sums give the expected count of each piece in the words of the training texts. A text's
-score is the posterior of its likeliest language under equal priors.
+score is the posterior of its likeliest language under equal priors, where each word is of any language
+with the chance FOREIGN, which bounds what one word can say.
 
 Learning sees text and lang of rows whose crc32(id) % 5 is not 0, of each language a sample of about
 `per_lang` texts at most, drawn by a hash of the id, and the `MAX_WORDS` commonest words of that sample. All
@@ -34,6 +35,8 @@ LONGEST_PIECE = 6
 LONGEST_WORD = 32
 ROUNDS = 4
 FLOOR = 1e-7
+#: Chance that a word is of any language: a quotation in another one must not outweigh the rest of a text.
+FOREIGN = 0.1
 _TABLE = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
 
 
@@ -212,6 +215,8 @@ def posteriors(scorer: Scorer, texts: list[bytes | None]) -> np.ndarray:
     if not flat:
         return out
     table = scorer.log_words(list(ids))
+    table = np.exp(table - table.max(axis=1, keepdims=True))
+    table = np.log((1 - FOREIGN) * table + FOREIGN * table.mean(axis=1, keepdims=True))
     flat_ids = np.array(flat, np.int64)
     start = 0
     for i, end in enumerate(ends):
