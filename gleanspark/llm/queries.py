@@ -28,7 +28,8 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.judge(spread(table(spark, sf_dir, "documents")))
+    """Which rule rejects a text first depends on measured costs; what is returned does not."""
+    return rules.judge(spread(table(spark, sf_dir, "documents"))).drop("rejected_by")
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,6 +72,62 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return found | {"pipeline": pipeline}
 
 
+#: The order of a cascade never changes its verdicts, so SQL asks all rules at once.
+OP4_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS text,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+w AS (SELECT k, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM d),
+eight AS (
+  SELECT k, pos, [word, lead(word, 1) OVER o, lead(word, 2) OVER o, lead(word, 3) OVER o, lead(word, 4) OVER o,
+    lead(word, 5) OVER o, lead(word, 6) OVER o, lead(word, 7) OVER o] AS span
+  FROM w WINDOW o AS (PARTITION BY k ORDER BY pos)),
+twice AS (SELECT k, pos FROM eight WHERE span[8] IS NOT NULL QUALIFY count(*) OVER (PARTITION BY k, span) > 1),
+repeats AS (SELECT k, count(DISTINCT pos + j) AS n FROM twice, range(0, 8) AS r(j) GROUP BY k),
+lines AS (SELECT k, unnest(string_split(text, chr(10))) AS line FROM d),
+dups AS (
+  SELECT k, sum(n - 1) AS n FROM (SELECT k, line, count(*) AS n FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY k, line)
+  GROUP BY k),
+tops AS (SELECT k, max(n) AS n FROM (SELECT k, word, count(*) AS n FROM w GROUP BY k, word) GROUP BY k),
+s AS (
+  SELECT doc_id, len(words) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
+    length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS n_symbols, coalesce(dups.n, 0)::BIGINT AS n_dup_lines,
+    coalesce(repeats.n, 0) AS n_repeat_words, len(string_split(text, chr(10))) AS n_lines, coalesce(tops.n, 0) AS top,
+    length(regexp_replace(text, '[^A-Z]+', '', 'g')) AS up, length(regexp_replace(text, '[^a-z]+', '', 'g')) AS low
+  FROM d LEFT JOIN repeats USING (k) LEFT JOIN dups USING (k) LEFT JOIN tops USING (k)),
+b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM s)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT (base_failed OR 2 * n_symbols > n_words OR word_chars < 2 * n_words OR word_chars > 25 * n_words OR 2 * n_dup_lines > n_lines
+    OR (up + low >= 40 AND 10 * up > 6 * (up + low)) OR 2 * top > n_words) AS kept
+FROM b
+"""
+
+#: Windows compared as lists of words, whole table against whole table.
+OP7_SQL = r"""
+WITH texts AS (
+  SELECT 'd' AS side, row_number() OVER () AS k, doc_id AS id, text FROM documents
+  UNION ALL SELECT 'b', row_number() OVER (), item_id, text FROM benchmark),
+split AS (
+  SELECT side, k, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM texts),
+w AS (SELECT side, k, id, len(words) AS n, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM split),
+ten AS (
+  SELECT side, k, id, n, pos, [word, lead(word, 1) OVER o, lead(word, 2) OVER o, lead(word, 3) OVER o, lead(word, 4) OVER o,
+    lead(word, 5) OVER o, lead(word, 6) OVER o, lead(word, 7) OVER o, lead(word, 8) OVER o, lead(word, 9) OVER o] AS span
+  FROM w WINDOW o AS (PARTITION BY side, k ORDER BY pos)),
+windows AS (
+  SELECT DISTINCT id::VARCHAR AS item_id, least(n, 10) AS size, span[1:least(n, 10)] AS span FROM ten WHERE side = 'b' AND pos + least(n, 10) - 1 <= n),
+sizes AS (SELECT DISTINCT size FROM windows),
+found AS (
+  SELECT k, pos, size, item_id FROM (SELECT k, pos, size, span[1:size] AS span FROM ten, sizes WHERE side = 'd' AND pos + size - 1 <= n)
+  JOIN windows USING (size, span)),
+hits AS (SELECT k, count(DISTINCT pos + j) AS n FROM found, range(0, 10) AS r(j) WHERE j < size GROUP BY k),
+owners AS (SELECT k, count(*) AS n, string_agg(item_id, ',' ORDER BY item_id) AS names FROM (SELECT DISTINCT k, item_id FROM found WHERE item_id IS NOT NULL) GROUP BY k)
+SELECT split.id AS doc_id, len(words) AS n_words, coalesce(hits.n, 0) AS n_hit, coalesce(owners.n, 0) AS n_items,
+  sha256(coalesce(names, '')) AS items_sha256, coalesce(hits.n, 0) > 0 AS contaminated
+FROM split LEFT JOIN hits USING (k) LEFT JOIN owners USING (k) WHERE side = 'd'
+"""
+
 #: Read back or not, the reports of a faithful format follow from the source rows.
 OP8_SQL = r"""
 WITH t AS (
@@ -91,4 +148,4 @@ FROM g
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_chat": OP8_SQL}
+    return {"op4_rules": OP4_SQL, "op7_decontam": OP7_SQL, "op8_chat": OP8_SQL}

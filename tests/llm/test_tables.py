@@ -357,15 +357,18 @@ def test_stages_take_odd_rows(spark, make, tmp_path):
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the sample tables")
-def test_chat_query_equals_sql(spark):
+@pytest.mark.parametrize("name", ["op4_rules", "op7_decontam", "op8_chat"])
+def test_query_equals_sql(spark, name):
     import duckdb
 
     from gleanspark.llm import queries
 
     con = duckdb.connect()
-    con.sql(f"CREATE VIEW conversations AS SELECT * FROM '{DATA}/conversations.parquet'")
-    df = queries.op8_chat(spark, DATA)
-    sql = con.sql(queries.OP8_SQL)
+    for t in ("documents", "benchmark", "conversations"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
+    df = queries.queries()[name](spark, DATA)
+    sql = con.sql(queries.oracle_sql()[name])
+    assert sorted(df.columns) == sorted(sql.columns)
     at = [sql.columns.index(c) for c in df.columns]
     assert sorted(map(tuple, df.collect())) == sorted(tuple(r[i] for i in at) for r in sql.fetchall())
 
