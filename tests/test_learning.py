@@ -133,3 +133,20 @@ def test_stream_equals_batch_and_replays(spark, tmp_path):
     stream.upsert(b, 1)
     expected = {(r.term, r.doc_id): r.cnt for r in index.postings(a.unionByName(b)).collect()}
     assert {(r.term, r.doc_id): r.cnt for r in stream.current().collect()} == expected
+
+
+def test_stream_merges_segments(spark, tmp_path):
+    from gleanspark.operators import index
+
+    batches = [spark.createDataFrame([(i, "one two"), (i % 3, f"w{i % 4} two")], "doc_id long, text string") for i in range(11)]
+    stream = IndexStream(spark, f"file://{tmp_path}/s", fanout=3)
+    every = batches[0].limit(0)
+    for i, b in enumerate(batches):
+        before, expected = stream.current(), {(r.term, r.doc_id): r.cnt for r in index.postings(every).collect()}
+        stream.upsert(b, i)
+        stream.upsert(b, i)
+        assert {(r.term, r.doc_id): r.cnt for r in before.collect()} == expected
+        every = every.unionByName(b)
+    stream.upsert(batches[0], 0)  # long since merged
+    assert [(s.level, s.first, s.last) for s in stream.segments()] == [(2, 0, 8), (0, 9, 9), (0, 10, 10)]
+    assert {(r.term, r.doc_id): r.cnt for r in stream.current().collect()} == {(r.term, r.doc_id): r.cnt for r in index.postings(every).collect()}
