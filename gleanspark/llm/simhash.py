@@ -45,18 +45,23 @@ BLOCK = 16
 _CHUNK = 1 << 16
 
 
-def simhash(text: bytes | None, shingle: int = 3) -> int:
-    """The fingerprint of one UTF-8 text, as an unsigned number."""
-    words = (text or b"").lower().split()
-    if not words:
-        return 0
+def shingle_hashes(words: list[bytes], shingle: int) -> np.ndarray:
+    """XXH64 (seed 42) of every run of `shingle` words, repeats included; of all words where there are fewer."""
     joined = b" ".join(words)
     n, digest = len(words), xxhash.xxh64_intdigest
     if n <= shingle:
-        return digest(joined, 42)
+        return np.array([digest(joined, 42)] if n else [], np.uint64)
     ends = list(accumulate(map(len, words), lambda a, b: a + b + 1))
     starts = [0, *(e + 1 for e in ends[: n - shingle])]
-    hashes = np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts, ends[shingle - 1 :])), np.uint64, n - shingle + 1)
+    return np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts, ends[shingle - 1 :])), np.uint64, n - shingle + 1)
+
+
+def simhash(text: bytes | None, shingle: int = 3) -> int:
+    """The fingerprint of one UTF-8 text, as an unsigned number."""
+    words = (text or b"").lower().split()
+    if not words:
+        return 0
+    hashes = shingle_hashes(words, shingle)
     ones = np.zeros(64, np.int64)
     for i in range(0, len(hashes), _CHUNK):
         ones += np.unpackbits(hashes[i : i + _CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
