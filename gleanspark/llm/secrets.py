@@ -3,10 +3,13 @@
 The base patterns label credentials. From a bounded sample of labelled credentials of each kind a prefix
 tree of character classes is built, and states whose outgoing frequencies are statistically compatible
 (Hoeffding's bound) are merged, frequent states first, into a probabilistic automaton. Every
-candidate of the whole text - a maximal run of credential characters outside the base spans - is scored by
-the mean log-likelihood of its format under the automata, against the same for words of the corpus
-that are no credentials. Candidates that a credential automaton explains better, and as well as the
-labelled credentials themselves, are added as spans of kind "format".
+candidate of the whole text - a maximal run of credential characters outside the base spans, of any length
+from six on, also without the punctuation at its ends - is scored by the mean log-likelihood of its format
+under the automata, against the same for ordinary runs. Candidates that a credential automaton explains
+better, and as well as the labelled credentials themselves, are added as spans of kind "format".
+
+What is ordinary is learned from words of letters first, and then from these and those other runs that
+no automaton explains better than the words do. So an unlabelled credential is not made ordinary by being frequent.
 
 Base spans stay as they are. Defined cases: a null text is empty; spans count code points, end
 exclusive; several spans at one start are in the order of the kinds; without any labelled credential
@@ -18,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,7 +34,11 @@ ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 ACCESS = re.compile(rb"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(rb"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "format")
-CANDIDATE = re.compile(rb"[A-Za-z0-9+/_=-]{16,}")
+#: The characters and the least length of labelled values.
+CANDIDATE = re.compile(rb"[A-Za-z0-9+/_.=-]{6,}")
+#: Ordinary words: lower case or capitalised letters, joined by hyphens, a full stop at most behind them.
+_WORD = re.compile(rb"[A-Z]?[a-z]+(?:-[A-Za-z]?[a-z]+)*\.?")
+_EDGE = b"._-/+="
 _MIXED = re.compile(rb"[0-9][^0-9A-Za-z]*[A-Za-z]|[A-Za-z][^0-9A-Za-z]*[0-9]")
 MAX_LABELLED = 4000
 #: Longer values are scored whole, but nothing is learned from them.
@@ -159,19 +167,49 @@ class Model:
         self.kinds, self.plain, self.least = kinds, plain, least
 
     def accepts(self, value: bytes) -> bool:
-        text = shape(value)
+        return self.accepts_shape(shape(value))
+
+    def accepts_shape(self, text: str) -> bool:
         usual = self.plain.mean_log(text) if self.plain else -math.inf
         return any((got := a.mean_log(text)) >= low and got > usual for a, low in zip(self.kinds, self.least))
 
-
-def outside(text: bytes, spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Candidates that touch no base span: maximal runs with a digit and a letter."""
+    def part(self, run: bytes) -> tuple[int, int] | None:
+        """Start and end, within a run, of what is accepted: all of it, or all but the punctuation at its ends."""
+        if len(run.strip(_EDGE)) < 16 or b"." in run.strip(_EDGE) or not _MIXED.search(run):
+            return None
+        if self.accepts(run):
+            return 0, len(run)
+        bare = run.strip(_EDGE)
+        if 6 <= len(bare) < len(run) and self.accepts(bare):
+            start = len(run) - len(run.lstrip(_EDGE))
+            return start, start + len(bare)
+        return None
+
+
+def outside(text: bytes, spans: list[tuple[int, int, int]]) -> list[bytes]:
+    """Candidates that touch no base span."""
+    if not spans:
+        return CANDIDATE.findall(text)
+    return [m[0] for m in CANDIDATE.finditer(text) if not any(a < m.end() and m.start() < b for a, b, _ in spans)]
+
+
+def _added(text: bytes, spans: list[tuple[int, int, int]], known: dict[bytes, tuple[int, int] | None], model: Model) -> list[tuple[int, int, int]]:
+    """Spans of accepted candidates; `known` remembers what was said of a run."""
+    hits = False
+    for run in set(outside(text, spans)):
+        if run not in known:
+            if len(known) >= 200_000:
+                known.clear()
+            known[run] = model.part(run)
+        hits = hits or known[run] is not None
+    if not hits:
+        return []
     out = []
     for m in CANDIDATE.finditer(text):
-        if not _MIXED.search(m[0]):
-            continue
         if not any(a < m.end() and m.start() < b for a, b, _ in spans):
-            out.append((m.start(), m.end()))
+            part = known[m[0]] if m[0] in known else model.part(m[0])
+            if part:
+                out.append((m.start() + part[0], m.start() + part[1], 3))
     return out
 
 
@@ -179,8 +217,16 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_l
     """Automata from at most about `max_labelled` labelled formats and as many ordinary runs, drawn by a hash."""
     rows = docs.select(F.col(text_col).cast("binary").alias("text"))
 
+    def fold(count, runs):
+        for value, n in runs.items():
+            if len(value) <= MAX_LENGTH:
+                key = (3 if _WORD.fullmatch(value) else 4, shape(value))
+                count[key] = count.get(key, 0) + n
+        runs.clear()
+
     def run(batches):
         count: dict[tuple[int, str], int] = {}
+        runs: Counter = Counter()
         for batch in batches:
             for x in batch.column(0):
                 text = x.as_py() or b""
@@ -190,21 +236,20 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_l
                         continue
                     key = (kind, shape(value))
                     count[key] = count.get(key, 0) + 1
-                for a, b in outside(text, base_spans(text) if known else []):
-                    if b - a > MAX_LENGTH:
-                        continue
-                    key = (3, shape(text[a:b]))
-                    count[key] = count.get(key, 0) + 1
+                runs.update(outside(text, base_spans(text) if known else []))
+                if len(runs) >= 100_000:
+                    fold(count, runs)
                 if len(count) >= 100_000:
                     yield _counted(count)
                     count.clear()
+        fold(count, runs)
         if count:
             yield _counted(count)
 
     shapes = rows.mapInArrow(run, "kind int, shape string, n long").groupBy("kind", "shape").agg(F.sum("n").alias("n"))
     cut = Cut(shapes)
     picked: list[dict[str, int]] = []
-    for kind in range(4):
+    for kind in range(5):
         drawn = cut.df.where(F.col("kind") == kind).orderBy(unit_hash(F.lit("shape"), F.col("shape")), "shape").limit(max_labelled)
         picked.append({r.shape: r.n for r in drawn.select("shape", "n").collect()})
     cut.drop()
@@ -218,7 +263,10 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_l
             if 20 * upto >= total:
                 least.append(got)
                 break
-    return Model(kinds, Automaton(picked[3]) if picked[3] else None, least)
+    words = Model(kinds, Automaton(picked[3]) if picked[3] else None, least)
+    other = {s: n for s, n in picked[4].items() if not words.accepts_shape(s)}
+    usual = {s: picked[3].get(s, 0) + other.get(s, 0) for s in picked[3].keys() | other.keys()}
+    return Model(kinds, Automaton(usual) if usual else None, least)
 
 
 def _counted(count: dict) -> pa.RecordBatch:
@@ -243,12 +291,14 @@ def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_format)."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
 
+    known: dict[bytes, tuple[int, int] | None] = {}
+
     def make(batch: pa.RecordBatch) -> list:
         out = []
         for x in batch.column(1):
             text = x.as_py() or b""
             base = base_spans(text)
-            more = [(a, b, 3) for a, b in outside(text, base) if model.accepts(text[a:b])]
+            more = _added(text, base, known, model)
             every = sorted(base + more, key=lambda s: (s[0], s[2], s[1])) if more else base
             n = [sum(1 for s in base if s[2] == k) for k in range(3)]
             digest = hashlib.sha256(",".join(_points(text, base)).encode()).hexdigest()

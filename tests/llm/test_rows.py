@@ -114,6 +114,22 @@ def test_grammar_finds_unlabelled_formats(make):
     assert sum(got[1000 + i] for i in range(200)) == 0
 
 
+def test_frequent_unlabelled_credentials_are_found(make):
+    """More of them than of labelled ones and of ordinary runs together."""
+    rng = random.Random(14)
+
+    def cred():
+        return "sk-" + "".join(rng.choices("0123456789", k=6)) + "-" + "".join(rng.choices("GHJKLMNPQRSTVWXYZ", k=14))
+
+    labelled = [(i, f"token={cred()} and several ordinary sentences without meaning") for i in range(200)]
+    hidden = [(5000 + i, f"nobody remembers {cred()} anymore.") for i in range(600)]
+    docs = make(labelled + hidden)
+    got = {r.doc_id: r for r in secrets.scan(docs, secrets.train(docs)).collect()}
+    assert sum(got[5000 + i].n_format for i in range(600)) >= 570
+    assert all(got[5000 + i].spans in ("", "format:17:41") for i in range(600))
+    assert sum(got[i].n_format for i in range(200)) == 0
+
+
 def test_automaton_merges_states():
     rng = random.Random(6)
     counts = {}
