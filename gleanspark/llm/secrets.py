@@ -39,7 +39,6 @@ CANDIDATE = re.compile(rb"[A-Za-z0-9+/_.=-]{6,}")
 #: Ordinary words: lower case or capitalised letters, joined by hyphens, a full stop at most behind them.
 _WORD = re.compile(rb"[A-Z]?[a-z]+(?:-[A-Za-z]?[a-z]+)*\.?")
 _EDGE = b"._-/+="
-_MIXED = re.compile(rb"[0-9][^0-9A-Za-z]*[A-Za-z]|[A-Za-z][^0-9A-Za-z]*[0-9]")
 MAX_LABELLED = 4000
 #: Longer values are scored whole, but nothing is learned from them.
 MAX_LENGTH = 256
@@ -175,8 +174,6 @@ class Model:
 
     def part(self, run: bytes) -> tuple[int, int] | None:
         """Start and end, within a run, of what is accepted: all of it, or all but the punctuation at its ends."""
-        if len(run.strip(_EDGE)) < 16 or b"." in run.strip(_EDGE) or not _MIXED.search(run):
-            return None
         if self.accepts(run):
             return 0, len(run)
         bare = run.strip(_EDGE)

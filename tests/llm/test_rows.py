@@ -130,6 +130,24 @@ def test_frequent_unlabelled_credentials_are_found(make):
     assert sum(got[i].n_format for i in range(200)) == 0
 
 
+@pytest.mark.parametrize("signs,cut", [("0123456789GHJKLMNP", (12,)), ("GHJKLMNPQRSTVWXYZ", (14,)), ("0123456789", (12,)), ("GHJKLM0123456789", (4, 4, 4))])
+def test_every_labelled_format_is_looked_for(make, signs, cut):
+    """Short, letters-only, digits-only and dotted values, also at the end of a sentence."""
+    rng = random.Random(15)
+
+    def cred():
+        return ".".join("".join(rng.choices(signs, k=k)) for k in cut)
+
+    labelled = [(i, f"password: {cred()} and several ordinary sentences without meaning") for i in range(200)]
+    hidden = [(5000 + i, f"Nobody remembers {cred()}{'.' if i % 2 else ' anymore'}") for i in range(20)]
+    plain = [(9000 + i, "Ordinary sentences. Remember well-known chapters, paragraphs and IMPORTANT headings.") for i in range(50)]
+    docs = make(labelled + hidden + plain)
+    got = {r.doc_id: r for r in secrets.scan(docs, secrets.train(docs)).collect()}
+    end = 17 + sum(cut) + len(cut) - 1
+    assert sum(got[5000 + i].spans == f"format:17:{end}" for i in range(20)) >= 17
+    assert sum(r.n_format for i, r in got.items() if not 5000 <= i < 9000) == 0
+
+
 def test_automaton_merges_states():
     rng = random.Random(6)
     counts = {}
