@@ -17,11 +17,18 @@ _own_dir: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which every executor sees; a temporary one only where that is unset."""
+    """The folder in spark.checkpoint.dir, which every executor sees.
+
+    Where that is unset, a temporary folder in local mode (as in tests), and an error on a cluster, whose
+    executors would not see each other's files.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
-    app = spark.sparkContext.applicationId
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    app = context.applicationId
     if app not in _own_dir:
         _own_dir[app] = "file://" + tempfile.mkdtemp(prefix="gleanspark-")
     return _own_dir[app]
@@ -78,5 +85,22 @@ def to_arrow(fields) -> pa.Schema:
     return to_arrow_schema(fields)
 
 
+def kind_of(df: DataFrame, column: str) -> str:
+    """The type of a column as DDL, so that ids keep theirs."""
+    return df.schema[column].dataType.simpleString()
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """name, or the first of name_1, name_2, ... that df has no column for (names differ by more than case)."""
+    taken = {c.lower() for c in df.columns}
+    return next(n for n in (name, *(f"{name}_{i}" for i in range(1, len(taken) + 2))) if n.lower() not in taken)
+
+
+def content_hash(df: DataFrame, *first: Column) -> Column:
+    """XXH64 of all columns of a row but maps, which have no hash."""
+    plain = [F.col(f"`{f.name}`") for f in df.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    return F.xxhash64(*first, *plain)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -5,15 +5,19 @@ such rates the ones nearest to one copy a document are wanted: least sum of q *
 q = size ** POWER weighs a document. The convex dual has one multiplier a source, and its solution tilts
 exponentially: r = min(COPIES, exp(lambda * (size / mean size) ** (1 - POWER))). Newton iterations on the
 dual run over the histogram of (source, size), which is exact and far smaller than the corpus; each is an
-aggregation and a join by source. A bracket around lambda replaces Newton steps that leave it.
+aggregation and a join by source. A bracket around lambda replaces Newton steps that leave it, and every third
+step halves it, so the iterations always end; they end at the constraint or where the bracket has no width.
 
 Rates become copies: the whole part, and one more for the documents whose hash divided by the fraction is
-under their source's cut. The cut is placed so that the source's words meet the target to within one
-document: a histogram over the ratio finds the bin, and the running sum inside that bin the row.
+under their source's cut. A hash covers all columns of a row, so only rows that are equal in all of them share a fate;
+such a group has one line and a count in the plan. The cut is placed by a histogram over the ratio
+and the running sum inside one bin. The group at the cut is split by count, so a source's words meet its
+target to within one document, whatever repeats.
 
 Defined cases: a null text has size zero and takes nothing; null is a source of its own, last in order;
-repeated rows are documents of their own with equal fate where their ids are equal, so a source of many
-rows with one id is met to within those; a source of size zero has target zero. An empty table gives no rows.
+null and repeated ids are documents like any other; of equal rows at the cut some get a copy more than the others,
+and it doesn't matter which; a source of size zero has target zero; further columns only enter the hash. Texts of any
+length count whole. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,14 +25,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Cut, unit_hash
+from .common import HASH_SPAN, Cut, content_hash
 
 WEIGHTS = (5, 2, 1)
 #: Most copies of a document, and most words of a target per word of its source.
 COPIES = 3
 POWER = 0.75
-NEWTON_ROUNDS = 40
 BINS = 2048
+#: Equal rows are written out again in runs of so many.
+RUN = 10_000
 
 
 def words_of(text: Column) -> Column:
@@ -40,24 +45,35 @@ def source_key(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("0"), source.cast("string")), F.lit("1"))
 
 
+def _ranked(sources: DataFrame) -> DataFrame:
+    """sources with rank 0, 1, ... by key: numbers inside ranges, and the ranges' sizes summed up."""
+    dealt = sources.repartitionByRange("key").sortWithinPartitions("key")
+    held = Cut(dealt.withColumn("at", F.monotonically_increasing_id())).df.withColumn("part", F.shiftright("at", 33))
+    # One row a partition, however many sources there are.
+    sizes = held.groupBy("part").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    starts = sizes.select("part", (F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))).alias("before"), "first")
+    return held.join(starts, "part").select(*sources.columns, (F.coalesce("before", F.lit(0)) + F.col("at") - F.col("first")).alias("rank"))
+
+
 def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, copies: int = COPIES) -> DataFrame:
-    """sources(key, source_size) -> adds weight and target.
+    """sources(key, source_size) -> adds weight and target = min(cap, level * weight), one level for all.
 
-    Sharing with caps and resharing the excess ends at target = min(cap, level * weight) with one level for
-    all; sources in the order in which they reach their caps give that level. One row a source is ordered.
+    All sources share by weight first; those above their caps are set to them and the rest is shared
+    again, until none is above. A round is one aggregation over the sources and two numbers for the driver; a
+    round without a newly capped source is the last.
     """
-    ranked = Window.orderBy("key")
-    full = Window.orderBy("ratio", "key")
-    everything = Window.partitionBy()
     shares = F.array(*[F.lit(float(w)) for w in weights])
-    df = sources.withColumn("weight", F.element_at(shares, (F.pmod(F.row_number().over(ranked) - 1, F.lit(len(weights))) + 1).cast("int")))
-    df = df.withColumn("cap", F.col("source_size") * float(copies)).withColumn("ratio", F.col("cap") / F.col("weight"))
-    df = df.withColumn("total", F.sum("source_size").over(everything).cast("double"))
-    df = df.withColumn("cap_before", F.sum("cap").over(full) - F.col("cap")).withColumn("weight_left", F.sum("weight").over(everything) - F.sum("weight").over(full) + F.col("weight"))
-    # The level if exactly the sources before this one are at their caps; right where it is first not above this one's ratio.
-    df = df.withColumn("try", (F.col("total") - F.col("cap_before")) / F.col("weight_left"))
-    df = df.withColumn("level", F.coalesce(F.min(F.when(F.col("try") <= F.col("ratio"), F.struct("ratio", "key", "try"))).over(everything)["try"], F.max("ratio").over(everything)))
-    return df.select("key", "source_size", "weight", F.least("cap", F.col("level") * F.col("weight")).alias("target"))
+    df = _ranked(sources).withColumn("weight", F.element_at(shares, (F.pmod("rank", F.lit(len(weights))) + 1).cast("int")))
+    held = Cut(df.select("key", "source_size", "weight", (F.col("source_size") * float(copies)).alias("cap")))
+    total = held.df.agg(F.sum("source_size").alias("s")).first().s or 0
+    level, capped_before = 0.0, -1
+    while True:
+        over = F.lit(level) * F.col("weight") > F.col("cap") if capped_before >= 0 else F.lit(False)
+        got = held.df.agg(F.sum(F.when(over, F.col("cap")).otherwise(0.0)).alias("caps"), F.sum(F.when(over, 0.0).otherwise(F.col("weight"))).alias("open"), F.sum(over.cast("long")).alias("n")).first()
+        if not got.open or got.n == capped_before:
+            break
+        level, capped_before = (total - got.caps) / got.open, got.n
+    return held.df.select("key", "source_size", "weight", F.least("cap", F.lit(level) * F.col("weight")).alias("target"))
 
 
 def tilt(size: Column, mean: Column) -> Column:
@@ -68,10 +84,19 @@ def rate(size: Column, mean: Column, multiplier: Column, copies: int = COPIES) -
     return F.when(size > 0, F.least(F.lit(float(copies)), F.exp(F.least(F.lit(30.0), multiplier * tilt(size, mean))))).otherwise(F.lit(0.0))
 
 
-def multipliers(histogram: DataFrame, wanted: DataFrame, copies: int = COPIES, rounds: int = NEWTON_ROUNDS) -> Cut:
-    """histogram(key, size, n), wanted(key, source_size, target, mean) -> Cut of wanted with lambda."""
-    state = Cut(wanted.select("*", F.lit(0.0).alias("lambda"), F.lit(-60.0).alias("low"), F.lit(30.0).alias("high"), F.lit(False).alias("met")))
-    for _ in range(rounds):
+def multipliers(histogram: DataFrame, wanted: DataFrame, copies: int = COPIES) -> Cut:
+    """histogram(key, size, n), wanted(key, source_size, target, mean) -> Cut of wanted with lambda.
+
+    A source whose target is all that its copies can give has an infinite multiplier from the start.
+    """
+    full = F.col("target") >= F.col("source_size") * (copies * (1 - 1e-12))
+    first = F.when(full, F.lit(float("inf"))).otherwise(F.log(F.col("target") / F.col("source_size")))
+    state = Cut(wanted.select("*", F.coalesce(first, F.lit(0.0)).alias("lambda"), F.lit(-700.0).alias("low"), F.lit(1e9).alias("high"), (full | (F.col("source_size") == 0)).alias("met")))
+    turn = 0
+    while not state.df.where(~F.col("met")).isEmpty():
+        turn += 1
+        if turn > 400:
+            raise ArithmeticError("the dual did not converge")
         at = histogram.where("size > 0").join(state.df.where(~F.col("met")).select("key", "mean", "lambda"), "key")
         r = rate(F.col("size"), F.col("mean"), F.col("lambda"), copies)
         slope = F.when(r < copies, r * tilt(F.col("size"), F.col("mean"))).otherwise(0.0)
@@ -80,87 +105,115 @@ def multipliers(histogram: DataFrame, wanted: DataFrame, copies: int = COPIES, r
         off = F.col("got") - F.col("target")
         low, high = F.when(off < 0, F.col("lambda")).otherwise(F.col("low")), F.when(off > 0, F.col("lambda")).otherwise(F.col("high"))
         newton = F.col("lambda") - off / F.when(F.col("slope") > 0, F.col("slope"))
-        inside = (newton > low) & (newton < high)
-        done = F.col("met") | F.col("got").isNull() | (F.abs(off) <= 1e-9 * F.greatest(F.lit(1.0), F.col("target")))
+        inside = (newton > low) & (newton < high) & F.lit(turn % 3 != 0)
+        # Halves in proportion where the bracket is still wide: from -700 to 1e9 both ends matter.
+        middle = F.when((low > 1) & (high > 4 * low), F.sqrt(low * high)).when((low <= 1) & (high > 4), F.lit(2.0)).otherwise((low + high) / 2)
+        narrow = high - low <= F.lit(1e-13) * F.greatest(F.lit(1.0), F.abs("lambda"))
+        done = F.col("met") | F.col("got").isNull() | narrow | (F.abs(off) <= 1e-10 * F.greatest(F.lit(1.0), F.col("target")))
         after = Cut(step.select(
-            "key", "source_size", "weight", "target", "mean",
-            F.when(done, F.col("lambda")).when(inside, newton).otherwise((low + high) / 2).alias("lambda"),
+            *[c for c in wanted.columns],
+            F.when(done, F.col("lambda")).when(inside, newton).otherwise(middle).alias("lambda"),
             F.when(done, F.col("low")).otherwise(low).alias("low"),
             F.when(done, F.col("high")).otherwise(high).alias("high"),
             done.alias("met"),
         ))
         state.drop()
         state = after
-        if not state.df.where(~F.col("met")).limit(1).count():
-            break
     return state
 
 
-def _ratio(rates: Column, chance: Column) -> Column:
+def _ratio(rates: Column, mark: Column) -> Column:
     """A document's hash over the fraction of its rate: the cut it needs for one copy more."""
     fraction = rates - F.floor(rates)
-    return F.when(fraction > 0, chance / fraction)
+    return F.when(fraction > 0, (F.shiftrightunsigned(mark, 11).cast("double") / F.lit(HASH_SPAN)) / fraction)
 
 
-def _chance(id_col: Column) -> Column:
-    return unit_hash(F.lit("mix"), F.coalesce(id_col.cast("string"), F.lit("")))
+def _described(docs: DataFrame, text_col: str, source_col: str) -> list[Column]:
+    return [source_key(F.col(source_col)).alias("__gs_key"), words_of(F.col(text_col)).alias("__gs_size"), content_hash(docs, F.lit("mix")).alias("__gs_mark")]
 
 
 def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", copies: int = COPIES) -> tuple[Cut, Cut]:
-    """Cuts of the small table of documents (doc_id, key, size, chance) and of the sources with lambda and cut."""
-    small = Cut(docs.select(F.col(id_col).alias("doc_id"), source_key(F.col(source_col)).alias("key"), words_of(F.col(text_col)).alias("size"), _chance(F.col(id_col)).alias("chance")))
-    histogram = Cut(small.df.groupBy("key", "size").agg(F.count("*").alias("n")))
+    """Cuts of the groups of equal rows (doc_id, key, size, mark, rows) and of the sources.
+
+    A source has its multiplier, its cut, and the group at the cut: its mark and how many of its rows get a copy more.
+    """
+    key, size, mark = _described(docs, text_col, source_col)
+    small = docs.select(F.col(id_col).alias("doc_id"), key.alias("key"), size.alias("size"), mark.alias("mark"))
+    groups = Cut(small.groupBy("doc_id", "key", "size", "mark").agg(F.count("*").alias("rows")))
+    histogram = Cut(groups.df.groupBy("key", "size").agg(F.sum("rows").alias("n")))
     sources = histogram.df.groupBy("key").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"), (F.sum(F.col("n") * F.col("size")) / F.greatest(F.sum("n"), F.lit(1))).alias("mean"))
     aimed = targets(sources.select("key", "source_size"), copies=copies).join(sources.select("key", "mean"), "key")
     solved = multipliers(histogram.df, aimed, copies)
     histogram.drop()
 
     # Rounded, so that the order of summation doesn't show.
-    rows = small.df.join(solved.df.select("key", "mean", F.round("lambda", 12).alias("lambda"), "target"), "key")
+    known = solved.df.select("key", "mean", F.round("lambda", 12).alias("lambda"), "target")
+    rows = groups.df.join(known, "key")
     r = rate(F.col("size"), F.col("mean"), F.col("lambda"), copies)
-    rows = rows.select("key", "size", "target", F.floor(r).alias("whole"), _ratio(r, F.col("chance")).alias("ratio"))
+    rows = rows.select("key", "mark", "rows", "size", "target", F.floor(r).alias("whole"), _ratio(r, F.col("mark")).alias("ratio"))
     # Ratios of 2 and more need more words than the target can lack; the last bin takes them, so no row is lost.
-    binned = rows.withColumn("bin", F.least(F.lit(BINS), F.floor(F.col("ratio") * (BINS / 2)).cast("int")))
-    binned = binned.withColumn("bin", F.when(F.col("ratio").isNull(), F.lit(-1)).otherwise(F.col("bin")))
-    sums = Cut(binned.groupBy("key", "bin").agg(F.sum(F.col("size") * F.col("whole")).alias("sure"), F.sum("size").alias("words"), F.first("target").alias("target")))
+    binned = rows.withColumn("bin", F.coalesce(F.least(F.lit(BINS), F.floor(F.col("ratio") * (BINS / 2)).cast("int")), F.lit(-1)))
+    words = F.col("size") * F.col("rows")
+    sums = Cut(binned.groupBy("key", "bin").agg(F.sum(words * F.col("whole")).alias("sure"), F.sum(words).alias("words"), F.first("target").alias("target")))
     over = Window.partitionBy("key")
-    running = over.orderBy("bin")
     filled = sums.df.withColumn("need", F.col("target") - F.sum("sure").over(over))
-    filled = filled.withColumn("upto", F.sum(F.when(F.col("bin") >= 0, F.col("words")).otherwise(0)).over(running))
+    filled = filled.withColumn("upto", F.sum(F.when(F.col("bin") >= 0, F.col("words")).otherwise(0)).over(over.orderBy("bin")))
     open_bin = filled.where((F.col("bin") >= 0) & (F.col("upto") >= F.col("need"))).groupBy("key").agg(F.min_by(F.struct("bin", (F.col("need") - F.col("upto") + F.col("words")).alias("left")), "bin").alias("at"))
     critical = Cut(open_bin.select("key", "at.bin", "at.left"))
-    # Rows of one bin of each source only: one in BINS / 2 of a source.
-    last = binned.select("key", "bin", "size", "ratio").join(critical.df, ["key", "bin"]).groupBy("key", "ratio", "left").agg(F.sum("size").alias("size"))
-    sums_in = last.withColumn("upto", F.sum("size").over(Window.partitionBy("key").orderBy("ratio")))
-    # The nearer of stopping before and after the row that crosses the target.
-    cut_rows = sums_in.where(F.col("upto") - F.col("size") / 2 <= F.col("left")).groupBy("key").agg(F.max("ratio").alias("cut"))
-    floor_cut = critical.df.select("key", (F.col("bin") * (2.0 / BINS) - 1e-12).alias("floor"))
+    # Groups of one bin of each source only: one in BINS / 2 of a source's, and equal rows are one group.
+    last = binned.join(critical.df, ["key", "bin"]).select("key", "ratio", "mark", "size", "rows", "left")
+    ordered = Window.partitionBy("key").orderBy("ratio", "mark", "size")
+    last = last.withColumn("before", F.sum(F.col("size") * F.col("rows")).over(ordered) - F.col("size") * F.col("rows"))
+    lacking = F.col("left") - F.col("before")
+    extra = F.least(F.col("rows"), F.greatest(F.lit(0), F.floor(lacking / F.greatest("size", F.lit(1)) + 0.5))).cast("long")
+    crossing = last.where(F.col("before") + F.col("size") * F.col("rows") >= F.col("left")).groupBy("key").agg(F.min_by(F.struct("ratio", "mark", extra.alias("extra")), F.struct("ratio", "mark", "size")).alias("at"))
+    edges = crossing.select("key", F.col("at.ratio").alias("cut"), F.col("at.mark").alias("edge"), F.col("at.extra").alias("extra"))
     # Without a bin that reaches the target, every fraction is taken.
-    cuts = solved.df.join(floor_cut, "key", "left").join(cut_rows, "key", "left")
-    final = Cut(cuts.select("key", "source_size", "target", "mean", F.round("lambda", 12).alias("lambda"), F.coalesce("cut", "floor", F.lit(float("inf"))).alias("cut")))
+    final = Cut(solved.df.join(edges, "key", "left").select("key", "source_size", "target", "mean", F.round("lambda", 12).alias("lambda"), F.coalesce("cut", F.lit(float("inf"))).alias("cut"), "edge", F.coalesce("extra", F.lit(0)).alias("extra")))
     for done in (solved, sums, critical):
         done.drop()
-    return small, final
+    return groups, final
 
 
-def _copies(size: Column, chance: Column, copies: int = COPIES) -> Column:
+def _copies(size: Column, mark: Column, copies: int = COPIES) -> Column:
+    """Copies of a row; those of the group at the cut are without what is split by count."""
     r = rate(size, F.col("mean"), F.col("lambda"), copies)
-    return (F.floor(r) + F.when(_ratio(r, chance) <= F.col("cut"), 1).otherwise(0)).cast("long")
+    ratio = _ratio(r, mark)
+    under = (ratio < F.col("cut")) | ((ratio == F.col("cut")) & (mark < F.col("edge")))
+    return (F.floor(r) + F.when(under, 1).otherwise(0)).cast("long")
+
+
+def _repeated(df: DataFrame, n: Column) -> DataFrame:
+    """Each row of df n times, in runs, so that no array grows with n but by its share of RUN."""
+    runs = df.withColumn("__gs_n", n).where("__gs_n > 0").withColumn("__gs_run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__gs_n") - 1) / RUN))))
+    left = F.least(F.lit(RUN), F.col("__gs_n") - F.col("__gs_run") * RUN).cast("int")
+    return runs.withColumn("__gs_one", F.explode(F.array_repeat(F.lit(1), left))).drop("__gs_n", "__gs_run", "__gs_one")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", copies: int = COPIES) -> DataFrame:
     """(doc_id, size, source_size, target, taken, copies) for every row of docs."""
-    small, sources = plan(docs, id_col, text_col, source_col, copies)
-    rows = small.df.join(sources.df, "key")
-    n = _copies(F.col("size"), F.col("chance"), copies)
-    return rows.select("doc_id", "size", "source_size", "target", (n * F.col("size")).alias("taken"), n.alias("copies"))
+    groups, sources = plan(docs, id_col, text_col, source_col, copies)
+    rows = groups.df.join(sources.df, "key").withColumn("copies", _copies(F.col("size"), F.col("mark"), copies))
+    extra = F.when(F.col("mark") == F.col("edge"), F.col("extra")).otherwise(F.lit(0))
+    parts = F.array(F.struct((F.col("rows") - extra).alias("n"), F.col("copies").alias("c")), F.struct(extra.alias("n"), (F.col("copies") + 1).alias("c")))
+    split = rows.select("doc_id", "size", "source_size", "target", F.explode(parts).alias("part"))
+    return _repeated(split, F.col("part.n")).select("doc_id", "size", "source_size", "target", (F.col("part.c") * F.col("size")).alias("taken"), F.col("part.c").alias("copies"))
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", copies: int = COPIES) -> DataFrame:
-    """The rows of docs, each as often as its copies say; columns as in docs. Texts are not shuffled unless the sources are too many to broadcast."""
-    small, sources = plan(docs, id_col, text_col, source_col, copies)
-    small.drop()
-    picked = sources.df.select("key", "mean", "lambda", "cut")
-    keyed = docs.select(F.struct("*").alias("__gs_row"), source_key(F.col(source_col)).alias("key"), words_of(F.col(text_col)).alias("size"), _chance(F.col(id_col)).alias("chance"))
-    n = _copies(F.col("size"), F.col("chance"), copies)
-    return keyed.join(picked, "key").withColumn("n", n.cast("int")).where("n > 0").select("__gs_row", F.explode(F.array_repeat(F.lit(1), F.col("n")))).select("__gs_row.*")
+    """The rows of docs, each as often as its copies say; columns as in docs.
+
+    Texts are not shuffled unless the sources are too many to broadcast. Of the equal rows at a source's cut one
+    is taken and written out as often as all of them together; each task brings one at most.
+    """
+    groups, sources = plan(docs, id_col, text_col, source_col, copies)
+    cut = sources.df.select(F.col("key").alias("__gs_key"), "mean", "lambda", "cut", "edge", "extra")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__gs_row")
+    keyed = docs.select(row, *_described(docs, text_col, source_col)).join(cut, "__gs_key")
+    counted = keyed.withColumn("__gs_c", _copies(F.col("__gs_size"), F.col("__gs_mark"), copies))
+    at_cut = F.coalesce(F.col("__gs_mark") == F.col("edge"), F.lit(False))
+    plain = _repeated(counted.where(~at_cut).select("__gs_row", "__gs_c"), F.col("__gs_c")).select("__gs_row.*")
+    one = counted.where(at_cut).groupBy("__gs_key", "extra").agg(F.first("__gs_row").alias("__gs_row"), F.sum("__gs_c").alias("__gs_c"))
+    edge = _repeated(one, F.col("__gs_c") + F.col("extra")).select("__gs_row.*")
+    groups.drop()
+    return plain.unionByName(edge)

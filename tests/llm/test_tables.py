@@ -105,9 +105,7 @@ def test_one_source_takes_itself(make):
     assert all(r.taken == 3 for r in got)
 
 
-@pytest.mark.parametrize("chunk", [100_000, 5])
-def test_shards(make, monkeypatch, chunk):
-    monkeypatch.setattr(sharding, "CHUNK_ROWS", chunk)
+def test_shards(make):
     rows = [(i, "é" * (i % 7)) for i in range(2000)] + [(7, "x"), (7, "x"), (None, None), (None, "y"), (-5, "z" * 100_000)]
     docs = make(rows)
     got = sharding.shards(docs).collect()
