@@ -9,12 +9,15 @@ strings can't stand inside content; the parser takes one away. In roles, backsla
 escaped as well.
 
 Turns are rendered and checked row by row before any exchange. Turns of a conversation then meet in one
-task, in order and as a stream: memory holds one turn and the running digests, however long the
-conversation is. All that is reported is read back from the rendered text.
+task, in order and as a stream, and the whole rendered conversation is read again by the parser, which knows nothing
+of the pieces in which it comes; memory holds one turn and the running digests, however long the conversation is.
+The loss mask is a list of character ranges over the rendered conversation; what is reported of it is read
+through these ranges from the rendered text.
 
 Defined cases: a null text or role is empty; a null conv_id is a conversation of its own; turns are
 ordered by turn (null first), role, rendered text; repeated rows are turns of their own; an empty table leaves
-the extra rows only.
+the extra rows only. Texts of any length are rendered whole. Further columns are not looked at. A conversation is
+one sequence for its digests, so one task reads it, whatever its length.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import map_arrow
 
-START, END = "<|im_start|>", "<|im_end|>"
+START, END, ASSISTANT = "<|im_start|>", "<|im_end|>", "assistant"
 _OPEN = re.compile(r"<(\\*)\|")
 _ESCAPED = re.compile(r"<\\(\\*)\|")
 
@@ -57,22 +60,57 @@ def template(role: str, content: str) -> str:
     return f"{START}{role}\n{content}{END}\n"
 
 
+class Parser:
+    """The grammar's deterministic parser over a text that comes in pieces of any size."""
+
+    def __init__(self):
+        self.held, self.at = "", 0
+
+    def feed(self, piece: str) -> list[tuple[str, str, int]]:
+        """The turns that end in the pieces so far and weren't given yet: (rendered role, rendered content, place of the content)."""
+        self.held += piece
+        out, at = [], 0
+        while True:
+            end = self.held.find(END + "\n", at)
+            if end < 0:
+                break
+            if not self.held.startswith(START, at):
+                raise GrammarError(f"no turn begins at {self.at + at}")
+            line = self.held.find("\n", at)
+            if line > end:
+                raise GrammarError(f"the role of the turn at {self.at + at} doesn't end")
+            role, content = self.held[at + len(START) : line], self.held[line + 1 : end]
+            if any(sign in part for sign in (START, END) for part in (role, content)):
+                raise GrammarError(f"control strings inside the turn at {self.at + at}")
+            out.append((role, content, self.at + line + 1))
+            at = end + len(END) + 1
+        self.held, self.at = self.held[at:], self.at + at
+        return out
+
+    def close(self) -> None:
+        if self.held:
+            raise GrammarError(f"the turn at {self.at} doesn't end")
+
+
 def parse(text: str) -> list[tuple[str, str]]:
-    """The turns of a rendered text, unescaped, by one scan from left to right."""
-    out, at = [], 0
-    while at < len(text):
-        if not text.startswith(START, at):
-            raise GrammarError(f"no turn begins at {at}")
-        line = text.find("\n", at)
-        end = text.find(END + "\n", line + 1) if line >= 0 else -1
-        if end < 0:
-            raise GrammarError(f"the turn at {at} doesn't end")
-        role, content = text[at + len(START) : line], text[line + 1 : end]
-        if START in role or END in role or START in content or END in content:
-            raise GrammarError(f"control strings inside the turn at {at}")
-        out.append((unescape_role(role), unescape(content)))
-        at = end + len(END) + 1
-    return out
+    """The turns of a rendered text, unescaped."""
+    reader = Parser()
+    turns = reader.feed(text)
+    reader.close()
+    return [(unescape_role(role), unescape(content)) for role, content, _ in turns]
+
+
+def loss_ranges(text: str) -> list[tuple[int, int]]:
+    """The loss mask of a rendered conversation: (start, end) of every assistant content, in code points."""
+    reader = Parser()
+    turns = reader.feed(text)
+    reader.close()
+    return [(at, at + len(content)) for role, content, at in turns if unescape_role(role) == ASSISTANT]
+
+
+def masked(text: str, ranges: list[tuple[int, int]]) -> list[str]:
+    """What the ranges of a mask cover, unescaped."""
+    return [unescape(text[a:b]) for a, b in ranges]
 
 
 def render(role: str, content: str) -> str:
@@ -102,6 +140,30 @@ def extra_conversation(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
 
 
+class _Digest:
+    """What is read back from one rendered conversation."""
+
+    def __init__(self, conv):
+        self.conv, self.parser, self.chars, self.turns, self.loss = conv, Parser(), 0, 0, 0
+        self.said, self.learned = hashlib.sha256(), hashlib.sha256()
+
+    def add(self, piece: str) -> None:
+        self.chars += len(piece)
+        before, held = self.parser.at, self.parser.held + piece
+        for role, content, at in self.parser.feed(piece):
+            role = unescape_role(role)
+            self.turns += 1
+            self.said.update(f"{role}\n{unescape(content)}\n".encode())
+            if role == ASSISTANT:
+                for text in masked(held, [(at - before, at - before + len(content))]):
+                    self.loss += len(text)
+                    self.learned.update(text.encode())
+
+    def row(self) -> list:
+        self.parser.close()
+        return [self.conv, self.turns, self.said.hexdigest(), self.loss, self.learned.hexdigest(), self.chars]
+
+
 def digests(turns: DataFrame) -> DataFrame:
     """(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars), read back from the rendered turns."""
     formatted = rendered_turns(turns)
@@ -109,33 +171,19 @@ def digests(turns: DataFrame) -> DataFrame:
     schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
     def run(batches):
-        now: list = []
-
-        def fresh(conv) -> None:
-            now[:] = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-
-        def row() -> list:
-            return [now[0], now[1], now[2].hexdigest(), now[3], now[4].hexdigest(), now[5]]
-
+        now: _Digest | None = None
         for batch in batches:
             out: list[list] = []
             for conv, form in zip(batch.column(0).to_pylist(), batch.column(1)):
-                if not now or now[0] != conv:
-                    if now:
-                        out.append(row())
-                    fresh(conv)
-                text = form.as_py()
-                now[5] += len(text)
-                for role, content in parse(text):
-                    now[1] += 1
-                    now[2].update(f"{role}\n{content}\n".encode())
-                    if role == "assistant":
-                        now[3] += len(content)
-                        now[4].update(content.encode())
+                if now is None or now.conv != conv:
+                    if now is not None:
+                        out.append(now.row())
+                    now = _Digest(conv)
+                now.add(form.as_py())
             if out:
                 yield _batch(out)
-        if now:
-            yield _batch([row()])
+        if now is not None:
+            yield _batch([now.row()])
 
     return ordered.mapInArrow(run, schema)
 
@@ -147,6 +195,14 @@ def _batch(rows: list[list]) -> pa.RecordBatch:
 
 
 def conversations(turns: DataFrame) -> DataFrame:
-    """(conv_id, formatted): whole conversations as training text, for conversations that fit in a row."""
+    """(conv_id, formatted, loss): whole conversations as training text with their loss mask, for conversations that fit in a row.
+
+    loss holds (start, end) of what is learned, in code points of the formatted text.
+    """
     gathered = rendered_turns(turns).groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "formatted"))).alias("t"))
-    return gathered.select("conv_id", F.array_join(F.transform("t", lambda x: x["formatted"]), "").alias("formatted"))
+    whole = gathered.select("conv_id", F.array_join(F.transform("t", lambda x: x["formatted"]), "").alias("formatted"))
+
+    def make(batch: pa.RecordBatch) -> list:
+        return [*batch.columns, [[{"start": a, "end": b} for a, b in loss_ranges(x.as_py())] for x in batch.column(1)]]
+
+    return map_arrow(whole, "conv_id long, formatted string, loss array<struct<start:int,end:int>>", make)

@@ -44,23 +44,33 @@ def test_rules_equal_plain(make):
         assert (r.rejected_by is None) == r.kept
 
 
-def test_cascade_order_does_not_change_verdicts():
-    every = rules.BASE_RULES + rules.MORE_RULES
+def test_cascade_order_does_not_change_verdicts(make):
     texts = [t.encode() if t is not None else None for t in SAMPLES]
-    for order in (every, every[::-1]):
-        assert [rules.verdict(rules.Text(t), list(order)) is None for t in texts] == [rules.verdict(rules.Text(t), rules.plan({n: (r, s) for n, r, s in rules.measure(texts, every)}, every)) is None for t in texts]
+    planned = rules.plan(*rules.measure(texts))
+    assert sorted(r.name for r in planned) == sorted(r.name for r in rules.RULES)
+    kept = [rules.verdict(rules.Text(t), list(rules.RULES)) is None for t in texts]
+    for order in (rules.RULES[::-1], planned):
+        assert [rules.verdict(rules.Text(t), list(order)) is None for t in texts] == kept
+    docs = make([(i, t) for i, t in enumerate(SAMPLES)] * 2)
+    stay = rules.keep(docs)
+    assert stay.columns == docs.columns
+    assert sorted(r.doc_id for r in stay.collect()) == sorted(2 * [i for i, k in enumerate(kept) if k])
+    assert rules.keep(make([])).count() == 0 and rules.judge(make([])).count() == 0
 
 
 def test_cascade_prefers_rejections_per_cost():
-    import time
+    """Conditional on what is left, and on statistics that are paid for."""
+    make = lambda name, *needs: rules.Rule(name, needs, lambda t: True)
+    four = (make("dear", "top"), make("never", "words"), make("cheap", "words"), make("same", "symbols"))
+    order = rules.plan({"top": 1.0, "words": 0.01, "symbols": 0.02}, {0b0001: 5, 0b1101: 50, 0: 45}, four)
+    assert [r.name for r in order] == ["cheap", "never", "dear", "same"] or [r.name for r in order] == ["cheap", "never", "same", "dear"]
+    assert rules.plan({"top": 1.0, "words": 0.01, "symbols": 0.02}, {0b0001: 50, 0b0100: 10}, four, ("top",))[0].name == "dear"
 
-    def slow(t):
-        time.sleep(0.002)
-        return True
 
-    three = (rules.Rule("slow", slow), rules.Rule("never", lambda t: False), rules.Rule("always", lambda t: True))
-    order = rules.plan({n: (r, s) for n, r, s in rules.measure([b"x"] * 5, three)}, three)
-    assert order[0].name == "always"
+def test_cascade_computes_only_what_it_asks_for():
+    t = rules.Text(b"short")
+    assert rules.verdict(t, list(rules.RULES)) == "too_short"
+    assert set(t.__dict__) == {"raw", "words"}
 
 
 @settings(max_examples=60, deadline=None)
@@ -188,6 +198,22 @@ def test_round_trip_of_odd_texts(text):
     assert chat.parse(formed) == turns
 
 
+def test_parser_takes_pieces_of_any_size():
+    turns = [("user", t) for t in ODD[:-1]] + [("assistant", t) for t in ODD[:-1]]
+    whole = "".join(chat.render(r, t) for r, t in turns)
+    for size in (1, 2, 7, 1000):
+        reader, got = chat.Parser(), []
+        for i in range(0, len(whole), size):
+            got += reader.feed(whole[i : i + size])
+        reader.close()
+        assert [(r, chat.unescape(c)) for r, c, _ in got] == turns
+        assert all(whole[at : at + len(c)] == c for _, c, at in got)
+    assert chat.masked(whole, chat.loss_ranges(whole)) == ODD[:-1]
+    for bad in ("x", whole + "<|im_start|>user\n", "<|im_start|>user<|im_end|>\n", "<|im_start|>a\n<|im_start|>b\nc<|im_end|>\n"):
+        with pytest.raises(chat.GrammarError):
+            chat.parse(bad)
+
+
 def test_clean_text_is_not_escaped():
     assert chat.render("user", "plain <b> | text") == "<|im_start|>user\nplain <b> | text<|im_end|>\n"
 
@@ -205,6 +231,9 @@ def test_conversations(spark):
         assert r.formatted_chars == sum(len(chat.render(role, text)) for _, role, text in mine)
     whole = {r.conv_id: r.formatted for r in chat.conversations(turns).collect()}
     assert len(whole[1]) == got[1].formatted_chars and len(chat.parse(whole[1])) == got[1].n_turns
+    for r in chat.conversations(turns).collect():
+        learned = "".join(chat.masked(r.formatted, [(x.start, x.end) for x in r.loss]))
+        assert hashlib.sha256(learned.encode()).hexdigest() == got[r.conv_id].loss_sha256
     assert chat.digests(turns.limit(0)).count() == 0
     assert chat.digests(chat.extra_conversation(spark)).first().n_turns == 2
 
