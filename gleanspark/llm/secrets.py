@@ -11,9 +11,10 @@ better, and as well as the labelled credentials themselves, are added as spans o
 What is ordinary is learned from words of letters first, and then from these and those other runs that
 no automaton explains better than the words do. So an unlabelled credential is not made ordinary by being frequent.
 
-Base spans stay as they are. Defined cases: a null text is empty; spans count code points, end
-exclusive; several spans at one start are in the order of the kinds; without any labelled credential
-nothing is added. An empty table gives no rows.
+Base spans stay as they are. Defined cases: a null text is empty; texts of any length are read whole, and runs of
+any length are scored; spans count code points, end exclusive; several spans at one start are in the order
+of the kinds; without any labelled credential nothing is added; repeated rows are scanned each on its own, and each
+counts in learning; further columns are not looked at. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Cut, map_arrow, unit_hash
+from .common import Cut, kind_of, map_arrow, unit_hash
 
 #: The base patterns, on the bytes of the text.
 ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I)
@@ -39,10 +40,11 @@ CANDIDATE = re.compile(rb"[A-Za-z0-9+/_.=-]{6,}")
 #: Ordinary words: lower case or capitalised letters, joined by hyphens, a full stop at most behind them.
 _WORD = re.compile(rb"[A-Z]?[a-z]+(?:-[A-Za-z]?[a-z]+)*\.?")
 _EDGE = b"._-/+="
-MAX_LABELLED = 4000
-#: Longer values are scored whole, but nothing is learned from them.
-MAX_LENGTH = 256
+#: Bounds of the sample that is learned from, for each kind: formats, and their signs all together.
+MAX_LABELLED, MAX_SIGNS = 4000, 1_000_000
 ALPHA = 0.05
+#: A state seen less often says nothing against a merge.
+LEAST_SEEN = 4
 
 
 def base_spans(text: bytes) -> list[tuple[int, int, int]]:
@@ -97,13 +99,12 @@ class Automaton:
         return abs(x / n - y / m) > math.sqrt(0.5 * math.log(2 / self.alpha)) * (1 / math.sqrt(n) + 1 / math.sqrt(m))
 
     def _compatible(self, a: int, b: int) -> bool:
+        """Tests all pairs of states that the two reach alike. What lies below b is a tree, so this ends."""
         stack = [(a, b)]
-        steps = 0
         while stack:
             a, b = stack.pop()
-            steps += 1
             n, m = self._total(a), self._total(b)
-            if min(n, m) < 4 or steps > 2000:
+            if min(n, m) < LEAST_SEEN:
                 continue
             if self._differ(self.stops[a], n, self.stops[b], m):
                 return False
@@ -165,49 +166,97 @@ class Model:
     def __init__(self, kinds: list[Automaton], plain: Automaton | None, least: list[float]):
         self.kinds, self.plain, self.least = kinds, plain, least
 
-    def accepts(self, value: bytes) -> bool:
-        return self.accepts_shape(shape(value))
+    def margin(self, text: str) -> float | None:
+        """By how much a credential automaton explains a shape better than the ordinary one, a sign; None if none accepts it."""
+        usual = self.plain.mean_log(text) if self.plain else -math.inf
+        best = max((got for a, low in zip(self.kinds, self.least) if (got := a.mean_log(text)) >= low), default=-math.inf)
+        if best <= usual:
+            return None
+        return best - usual if usual > -math.inf else -best
 
     def accepts_shape(self, text: str) -> bool:
-        usual = self.plain.mean_log(text) if self.plain else -math.inf
-        return any((got := a.mean_log(text)) >= low and got > usual for a, low in zip(self.kinds, self.least))
+        return self.margin(text) is not None
 
-    def part(self, run: bytes) -> tuple[int, int] | None:
-        """Start and end, within a run, of what is accepted: all of it, or all but the punctuation at its ends."""
-        if self.accepts(run):
-            return 0, len(run)
+    def part(self, run: bytes) -> tuple[int, int, float] | None:
+        """Start and end, within a run, of what is accepted, and its margin: all of it or all but the punctuation at its ends, whichever has the greater."""
+        got = self.margin(shape(run))
         bare = run.strip(_EDGE)
-        if 6 <= len(bare) < len(run) and self.accepts(bare):
+        if 6 <= len(bare) < len(run) and (more := self.margin(shape(bare))) is not None and (got is None or more > got):
             start = len(run) - len(run.lstrip(_EDGE))
-            return start, start + len(bare)
-        return None
+            return start, start + len(bare), more
+        return None if got is None else (0, len(run), got)
 
 
-def outside(text: bytes, spans: list[tuple[int, int, int]]) -> list[bytes]:
-    """Candidates that touch no base span."""
+def outside(text: bytes, spans: list[tuple[int, int, int]]) -> list[tuple[int, bytes]]:
+    """(start, run) of the candidates that touch no base span, in one walk along both; spans ascend by start."""
     if not spans:
-        return CANDIDATE.findall(text)
-    return [m[0] for m in CANDIDATE.finditer(text) if not any(a < m.end() and m.start() < b for a, b, _ in spans)]
+        return [(m.start(), m[0]) for m in CANDIDATE.finditer(text)]
+    out, k, upto = [], 0, 0
+    for m in CANDIDATE.finditer(text):
+        while k < len(spans) and spans[k][0] < m.end():
+            upto = max(upto, spans[k][1])
+            k += 1
+        if upto <= m.start():
+            out.append((m.start(), m[0]))
+    return out
 
 
-def _added(text: bytes, spans: list[tuple[int, int, int]], known: dict[bytes, tuple[int, int] | None], model: Model) -> list[tuple[int, int, int]]:
-    """Spans of accepted candidates; `known` remembers what was said of a run."""
-    hits = False
-    for run in set(outside(text, spans)):
-        if run not in known:
-            if len(known) >= 200_000:
+_KNOWN = 200_000
+
+
+def _added(text: bytes, spans: list[tuple[int, int, int]], known: dict[bytes, tuple[int, int, float] | None], model: Model) -> tuple[list[tuple[int, int, int]], float | None]:
+    """Spans of accepted candidates and their greatest margin; `known` remembers what was said of a run."""
+    if not model.kinds:
+        return [], None
+    if not spans:
+        runs = set(CANDIDATE.findall(text))
+        for run in runs.difference(known):
+            known[run] = model.part(run)
+        if not any(known[run] for run in runs):
+            if len(known) >= _KNOWN:
                 known.clear()
+            return [], None
+    out, best = [], None
+    for start, run in outside(text, spans):
+        if run not in known:
             known[run] = model.part(run)
-        hits = hits or known[run] is not None
-    if not hits:
-        return []
-    out = []
-    for m in CANDIDATE.finditer(text):
-        if not any(a < m.end() and m.start() < b for a, b, _ in spans):
-            part = known[m[0]] if m[0] in known else model.part(m[0])
-            if part:
-                out.append((m.start() + part[0], m.start() + part[1], 3))
-    return out
+        part = known[run]
+        if part:
+            out.append((start + part[0], start + part[1], 3))
+            best = part[2] if best is None else max(best, part[2])
+    if len(known) >= _KNOWN:
+        known.clear()
+    return out, best
+
+
+def _sample(shapes: DataFrame, kind: int, max_labelled: int, max_signs: int) -> dict[str, int]:
+    """Formats of a kind with their counts, drawn by a hash; each that still fits into the signs left."""
+    mine = shapes.where(F.col("kind") == kind).select("shape", "n", F.length("shape").alias("len"), unit_hash(F.lit("shape"), F.col("shape")).alias("draw"))
+    first = mine.orderBy("draw", "shape").limit(max_labelled)
+    left, most = max_signs, -1.0
+    fits = []
+    for r in first.select("draw", "len").collect():
+        if r.len <= left:
+            fits.append(r.draw)
+            left -= r.len
+            most = max(most, r.draw)
+    taken = set(fits)
+    # Those that don't fit are left out before they come to the driver.
+    longest = max_signs - left
+    return {r.shape: r.n for r in mine.where((F.col("draw") <= most) & (F.col("len") <= longest)).select("shape", "n", "draw").toLocalIterator() if r.draw in taken} if fits else {}
+
+
+def _least(automaton: Automaton, counts: dict[str, int]) -> float:
+    """The score that a credential must have: that of the lowest 20th of those learned from, less its distance to their median, since new ones score lower."""
+    scored = sorted((automaton.mean_log(s), n) for s, n in counts.items())
+    total, upto, low = sum(counts.values()), 0, None
+    for got, n in scored:
+        upto += n
+        if low is None and 20 * upto >= total:
+            low = got
+        if 2 * upto >= total:
+            return low - (got - low)
+    return low
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = MAX_LABELLED) -> Model:
@@ -216,9 +265,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_l
 
     def fold(count, runs):
         for value, n in runs.items():
-            if len(value) <= MAX_LENGTH:
-                key = (3 if _WORD.fullmatch(value) else 4, shape(value))
-                count[key] = count.get(key, 0) + n
+            key = (3 if _WORD.fullmatch(value) else 4, shape(value))
+            count[key] = count.get(key, 0) + n
         runs.clear()
 
     def run(batches):
@@ -229,11 +277,9 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_l
                 text = x.as_py() or b""
                 known = credentials(text)
                 for kind, value in known:
-                    if len(value) > MAX_LENGTH:
-                        continue
                     key = (kind, shape(value))
                     count[key] = count.get(key, 0) + 1
-                runs.update(outside(text, base_spans(text) if known else []))
+                runs.update((r for _, r in outside(text, base_spans(text))) if known else CANDIDATE.findall(text))
                 if len(runs) >= 100_000:
                     fold(count, runs)
                 if len(count) >= 100_000:
@@ -245,21 +291,10 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_l
 
     shapes = rows.mapInArrow(run, "kind int, shape string, n long").groupBy("kind", "shape").agg(F.sum("n").alias("n"))
     cut = Cut(shapes)
-    picked: list[dict[str, int]] = []
-    for kind in range(5):
-        drawn = cut.df.where(F.col("kind") == kind).orderBy(unit_hash(F.lit("shape"), F.col("shape")), "shape").limit(max_labelled)
-        picked.append({r.shape: r.n for r in drawn.select("shape", "n").collect()})
+    picked = [_sample(cut.df, kind, max_labelled, MAX_SIGNS) for kind in range(5)]
     cut.drop()
     kinds = [Automaton(c) for c in picked[:3] if c]
-    least = []
-    for a, c in zip(kinds, [c for c in picked[:3] if c]):
-        scored = sorted((a.mean_log(s), n) for s, n in c.items())
-        total, upto = sum(n for _, n in scored), 0
-        for got, n in scored:
-            upto += n
-            if 20 * upto >= total:
-                least.append(got)
-                break
+    least = [_least(a, c) for a, c in zip(kinds, [c for c in picked[:3] if c])]
     words = Model(kinds, Automaton(picked[3]) if picked[3] else None, least)
     other = {s: n for s, n in picked[4].items() if not words.accepts_shape(s)}
     usual = {s: picked[3].get(s, 0) + other.get(s, 0) for s in picked[3].keys() | other.keys()}
@@ -285,21 +320,24 @@ def _points(text: bytes, spans: list[tuple[int, int, int]]) -> list[str]:
 
 
 def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_format)."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_format, format_score).
+
+    format_score: the greatest margin, in nats a sign, by which an added span is a credential rather than ordinary; null without one.
+    """
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
 
-    known: dict[bytes, tuple[int, int] | None] = {}
+    known: dict[bytes, tuple[int, int, float] | None] = {}
 
     def make(batch: pa.RecordBatch) -> list:
         out = []
         for x in batch.column(1):
             text = x.as_py() or b""
             base = base_spans(text)
-            more = _added(text, base, known, model)
+            more, best = _added(text, base, known, model)
             every = sorted(base + more, key=lambda s: (s[0], s[2], s[1])) if more else base
             n = [sum(1 for s in base if s[2] == k) for k in range(3)]
             digest = hashlib.sha256(",".join(_points(text, base)).encode()).hexdigest()
-            out.append((*n, digest, ",".join(_points(text, every)), len(more)))
+            out.append((*n, digest, ",".join(_points(text, every)), len(more), best))
         return [batch.column(0), *map(list, zip(*out))]
 
-    return map_arrow(rows, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_format long", make)
+    return map_arrow(rows, f"doc_id {kind_of(docs, id_col)}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_format long, format_score double", make)

@@ -1,6 +1,7 @@
 """Operators that look at one text at a time: rules, secrets, chat, decontamination."""
 
 import hashlib
+import math
 import random
 import re
 
@@ -117,11 +118,102 @@ def test_grammar_finds_unlabelled_formats(make):
 
     labelled = [(i, f"token={cred()} and words that mean nothing") for i in range(200)]
     plain = [(1000 + i, "see chapter-" + "".join(rng.choices("abcdefghij", k=12)) + "2 or page-number-listing-" + str(rng.randrange(9))) for i in range(200)]
-    hidden = [(5000 + i, f"nobody knows {cred()} here") for i in range(20)]
+    hidden = [(5000 + i, f"nobody knows {cred()} here") for i in range(60)]
     docs = make(labelled + plain + hidden)
-    got = {r.doc_id: r.n_format for r in secrets.scan(docs, secrets.train(docs)).collect()}
-    assert sum(got[5000 + i] for i in range(20)) >= 17
-    assert sum(got[1000 + i] for i in range(200)) == 0
+    got = {r.doc_id: r for r in secrets.scan(docs, secrets.train(docs)).collect()}
+    found = {i for i, r in got.items() if r.n_format}
+    assert len(found & {5000 + i for i in range(60)}) >= 54  # recall
+    assert all(i >= 5000 for i in found)  # precision
+    assert all((r.format_score is not None and r.format_score > 0) == bool(r.n_format) for r in got.values())
+
+
+def plain_mean_log(automaton, text):
+    """The path of a text through an automaton, written out state by state."""
+    sizes = {"d": 10, "h": 6, "l": 20, "H": 6, "L": 20}
+    state, logs = 0, []
+    for c in text:
+        if state is None:
+            seen, to, total = 0, None, 0
+        else:
+            total = automaton.stops[state] + sum(n for n, _ in automaton.arcs[state].values())
+            seen, to = automaton.arcs[state].get(c, (0, None))
+        logs.append(math.log((seen + 0.01) / (total + 0.2) / sizes.get(c, 1)))
+        state = to
+    if state is None:
+        logs.append(math.log(0.05))
+    else:
+        total = automaton.stops[state] + sum(n for n, _ in automaton.arcs[state].values())
+        logs.append(math.log((automaton.stops[state] + 0.01) / (total + 0.2)))
+    return sum(logs) / len(logs)
+
+
+def plain_format_spans(text, model):
+    """All runs of the text against all base spans, by code points."""
+    base = [tuple(map(int, s.split(":")[1:])) for s in plain_spans(text).split(",") if s]
+    classes = lambda v: "".join("d" if c in "0123456789" else "h" if c in "abcdef" else "H" if c in "ABCDEF" else "l" if "g" <= c <= "z" else "L" if "G" <= c <= "Z" else c for c in v)
+
+    def wins(v):
+        scores = [x for x, low in ((plain_mean_log(a, classes(v)), low) for a, low in zip(model.kinds, model.least)) if x >= low - 1e-9]
+        return max(scores, default=-math.inf) - plain_mean_log(model.plain, classes(v))
+
+    out = []
+    for m in re.finditer("[A-Za-z0-9+/_.=-]{6,}", text):
+        if any(a < m.end() and m.start() < b for a, b in base):
+            continue
+        bare = m[0].strip("._-/+=")
+        whole, less = wins(m[0]), wins(bare) if 6 <= len(bare) < len(m[0]) else 0
+        if whole > 0 and whole >= less:
+            out.append(f"format:{m.start()}:{m.end()}")
+        elif less > 0:
+            at = m.start() + m[0].index(bare)
+            out.append(f"format:{at}:{at + len(bare)}")
+    return out
+
+
+def test_format_spans_equal_plain(make):
+    """Of every row, repeats and long texts included, learned on the same rows."""
+    rng = random.Random(21)
+    cred = lambda: "key_" + "".join(rng.choices("0123456789", k=8)) + "." + "".join(rng.choices("GHJKLMNP", k=6))
+    texts = [f"é secret: {cred()} then 語 {cred()}, {cred()} or Ordinary words-here." for _ in range(120)]
+    texts += [f"-{cred()}- token={cred()}" + HEX * 3 + f" {cred()}." for _ in range(40)] + [None, "", "plain words only"] + ["many words here and " * 5000 + cred()]
+    texts += [texts[0]] * 3
+    docs = make(list(enumerate(texts)))
+    model = secrets.train(docs)
+    got = {r.doc_id: r for r in secrets.scan(docs, model).collect()}
+    for i, t in enumerate(texts):
+        assert [s for s in got[i].spans.split(",") if s.startswith("format")] == plain_format_spans(t or "", model), t
+    assert sum(r.n_format for r in got.values()) > 200
+
+
+def test_merging_tests_all_states_of_large_trees():
+    """4,000 random formats of 40 signs: every merge passes its test, however many states there are."""
+    rng = random.Random(22)
+    counts = {"".join(rng.choices("dhlHL", k=40)): 5 for _ in range(400)}
+    made, tested = secrets.Automaton.__new__(secrets.Automaton), []
+    compatible = secrets.Automaton._compatible
+
+    def spy(self, a, b):
+        tested.append(compatible(self, a, b))
+        return tested[-1]
+
+    made._compatible = spy.__get__(made)
+    made.__init__(counts)
+    assert False in tested and True in tested
+
+
+def test_long_credentials_are_learned_and_spans_merge_in_linear_time(make):
+    import time
+
+    rng = random.Random(23)
+    cred = lambda: "".join(rng.choices("GHJKLMNP0123456789", k=600))
+    rows = [(i, f"secret={cred()} and words") for i in range(60)] + [(100 + i, f"words {cred()} words") for i in range(20)]
+    docs = make(rows)
+    got = {r.doc_id: r for r in secrets.scan(docs, secrets.train(docs)).collect()}
+    assert sum(got[100 + i].n_format for i in range(20)) >= 18
+    text = (f"token=abcdefgh words-of-nothing {HEX} " * 20_000).encode()
+    began = time.perf_counter()
+    assert len(secrets.outside(text, secrets.base_spans(text))) == 20_000
+    assert time.perf_counter() - began < 10
 
 
 def test_frequent_unlabelled_credentials_are_found(make):
@@ -149,12 +241,12 @@ def test_every_labelled_format_is_looked_for(make, signs, cut):
         return ".".join("".join(rng.choices(signs, k=k)) for k in cut)
 
     labelled = [(i, f"password: {cred()} and several ordinary sentences without meaning") for i in range(200)]
-    hidden = [(5000 + i, f"Nobody remembers {cred()}{'.' if i % 2 else ' anymore'}") for i in range(20)]
+    hidden = [(5000 + i, f"Nobody remembers {cred()}{'.' if i % 2 else ' anymore'}") for i in range(40)]
     plain = [(9000 + i, "Ordinary sentences. Remember well-known chapters, paragraphs and IMPORTANT headings.") for i in range(50)]
     docs = make(labelled + hidden + plain)
     got = {r.doc_id: r for r in secrets.scan(docs, secrets.train(docs)).collect()}
     end = 17 + sum(cut) + len(cut) - 1
-    assert sum(got[5000 + i].spans == f"format:17:{end}" for i in range(20)) >= 17
+    assert sum(got[5000 + i].spans == f"format:17:{end}" for i in range(40)) >= 36
     assert sum(r.n_format for i, r in got.items() if not 5000 <= i < 9000) == 0
 
 

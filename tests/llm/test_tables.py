@@ -5,6 +5,7 @@ import os
 import random
 import zlib
 
+import numpy as np
 import pytest
 from conftest import crc
 from pyspark.sql import functions as F
@@ -177,6 +178,114 @@ def test_forward_equals_all_segmentations():
             assert math.exp(row[k]) == pytest.approx(brute_probability(w, prob), rel=1e-9)
 
 
+def log_probability(word, prob, longest):
+    """The same for words of any length, with exact fractions."""
+    from fractions import Fraction
+
+    sums = [Fraction(1)] + [Fraction(0)] * len(word)
+    for j in range(1, len(word) + 1):
+        for i in range(max(0, j - longest), j):
+            if word[i:j] in prob:
+                sums[j] += sums[i] * Fraction(prob[word[i:j]])
+    total = sums[-1]
+    return math.log(total.numerator) - math.log(total.denominator)
+
+
+def test_long_words_and_pieces_are_summed_whole():
+    """A word of 300 bytes, where plain doubles have no sum, and pieces longer than six bytes."""
+    long_piece = b" abracadabrasupercalifragilistic"
+    counts = {"a": {b" abab": 5, long_piece + b"ab": 3}, "b": {b" bbb" * 1: 4, b" ab": 1, b" " + "日本語".encode() * 4: 2}}
+    langs, trie, column = langid.fit(counts, [b" a", b"ab", b"bb", long_piece, "日本語".encode()])
+    assert long_piece in trie.pieces and "日本語".encode() in trie.pieces and b" a" in trie.pieces
+    scorer = langid.Scorer(trie.next, column)
+    words = [b" " + b"ab" * 150, long_piece + b"abab", b" " + "日本語".encode() * 30, b" " + bytes(range(0x80, 0xF0))]
+    got = scorer.log_words(words)
+    for k in range(len(langs)):
+        prob = {p: column[list(trie.piece).index(i), k] for i, p in enumerate(trie.pieces)}
+        for w, row in zip(words, got):
+            assert row[k] == pytest.approx(log_probability(w, prob, 40), rel=1e-9)
+
+
+def test_vocabulary_is_used_whole():
+    """Every piece of the file that is letters, with or without a space in front, whatever its length."""
+    import base64
+
+    pieces = langid.read_pieces()
+    letters = set()
+    with open(langid.VOCABULARY, "rb") as f:
+        for line in f:
+            p = base64.b64decode(line.split()[0])
+            bare = p[1:] if p.startswith(b" ") else p
+            if bare and all(0x61 <= c <= 0x7A for c in bare):
+                letters.add(p)
+    assert letters <= set(pieces) and len(pieces) > 30_000 and max(map(len, pieces)) > 12
+    with pytest.raises(FileNotFoundError, match="vocabulary"):
+        langid.read_pieces("/nowhere")
+
+
+def test_expected_counts_equal_all_segmentations():
+    """One round of learning against counts over listed segmentations."""
+
+    def cuts(w, pieces):
+        if not w:
+            yield []
+        for j in range(1, len(w) + 1):
+            if w[:j] in pieces:
+                for rest in cuts(w[j:], pieces):
+                    yield [w[:j], *rest]
+
+    counts = {"a": {b" abab": 5, b" ba": 2}}
+    langs, trie, column = langid.fit(counts, [b"ab", b" a", b"bab"], rounds=1)
+    size = len(trie.pieces)
+    expected = {p: 1e-3 for p in trie.pieces}
+    for w, n in counts["a"].items():
+        ways = [(c, (1 / size) ** len(c)) for c in cuts(w, set(trie.pieces))]
+        total = sum(p for _, p in ways)
+        for c, p in ways:
+            for piece in c:
+                expected[piece] += n * p / total
+    every = sum(expected.values())
+    for i, p in enumerate(trie.pieces):
+        assert column[list(trie.piece).index(i), 0] == pytest.approx(max(langid.FLOOR, expected[p] / every), rel=1e-9)
+
+
+def test_language_ties_and_repeats(make):
+    rows = [(i, "same words here", None, lang) for i, lang in enumerate(["b", "a"] * 20)] + [(500, "same words here")] * 3
+    docs = make(rows)
+    got = langid.predict(docs, langid.train(docs)).where("doc_id = 500").collect()
+    assert len(got) == 3 and len({(r.lang_pred, r.score) for r in got}) == 1
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the sample tables")
+def test_language_query_equals_plain(spark):
+    """Every row of the query, scored again word by word from the exported model."""
+    from gleanspark.llm import queries
+    from gleanspark.llm.common import table
+
+    docs = table(spark, DATA, "documents")
+    model = langid.train(docs)
+    scorer = langid.Scorer(model.next, model.prob)
+    got = {r.doc_id: r for r in queries.op2_langid(spark, DATA).collect()}
+    seen: dict[bytes, np.ndarray] = {}
+    for r in docs.select("doc_id", F.lower("text").alias("text")).collect():
+        words = langid.cut_words((r.text or "").encode())
+        row = got[r.doc_id]
+        assert row.held_out == (crc(r.doc_id, 5) == 0)
+        if not langid.has_letter((r.text or "").encode()):
+            assert (row.lang_pred, row.score) == ("und", 0.0)
+            continue
+        total = np.zeros(len(model.langs))
+        for w in words:
+            if w not in seen:
+                p = np.exp(scorer.log_words([w])[0])
+                p = p / p.max()
+                seen[w] = np.log((1 - langid.FOREIGN) * p + langid.FOREIGN * p.mean())
+            total += seen[w]
+        p = np.exp(total - total.max())
+        p /= p.sum()
+        assert row.score == pytest.approx(p.max(), abs=1e-9) and (row.lang_pred == model.langs[int(p.argmax())] or sorted(p)[-2] > p.max() - 1e-9)
+
+
 def test_language_of_nothing(make):
     docs = make([])
     assert langid.predict(docs, langid.train(docs)).count() == 0
@@ -295,7 +404,6 @@ def test_quality(spark, make):
 def test_compiled_rules_equal_the_model(spark, make):
     rng = random.Random(9)
     texts = [" ".join(rng.choices(GOOD + ["X!", "#", "|"], k=rng.randrange(40))) for _ in range(120)]
-    import numpy as np
 
     from gleanspark.llm import textstats
 
