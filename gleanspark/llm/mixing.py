@@ -4,9 +4,9 @@ Every document gets a rate r >= 0, and sum(size * r) over a source must equal th
 such rates the ones nearest to one copy a document are wanted: least sum of q * (r log r - r + 1), where
 q = size ** POWER weighs a document. The convex dual has one multiplier a source, and its solution tilts
 exponentially: r = min(COPIES, exp(lambda * (size / mean size) ** (1 - POWER))). Newton iterations on the
-dual run over the histogram of (source, size), which is exact and far smaller than the corpus; each is an
-aggregation and a join by source. A bracket around lambda replaces Newton steps that leave it, and every third
-step halves it, so the iterations always end; they end at the constraint or where the bracket has no width.
+dual run over the histogram of (source, size), which is exact and far smaller than the corpus, all sources at
+once. A bracket around lambda replaces Newton steps that leave it, and every third step halves it, so the
+iterations always end; they end at the constraint or where the bracket has no width.
 
 Rates become copies: the whole part, and one more for the documents whose hash divided by the fraction is
 under their source's cut. A hash covers all columns of a row, so only rows that are equal in all of them share a fate;
@@ -32,6 +32,8 @@ WEIGHTS = (5, 2, 1)
 COPIES = 3
 POWER = 0.75
 BINS = 2048
+#: Newton steps in one pass over the histograms.
+STEPS = 60
 #: Equal rows are written out again in runs of so many.
 RUN = 10_000
 
@@ -64,16 +66,15 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, copies: int
     """
     shares = F.array(*[F.lit(float(w)) for w in weights])
     df = _ranked(sources).withColumn("weight", F.element_at(shares, (F.pmod("rank", F.lit(len(weights))) + 1).cast("int")))
-    held = Cut(df.select("key", "source_size", "weight", (F.col("source_size") * float(copies)).alias("cap")))
-    total = held.df.agg(F.sum("source_size").alias("s")).first().s or 0
+    df = df.select("key", "source_size", "weight", (F.col("source_size") * float(copies)).alias("cap"))
     level, capped_before = 0.0, -1
     while True:
         over = F.lit(level) * F.col("weight") > F.col("cap") if capped_before >= 0 else F.lit(False)
-        got = held.df.agg(F.sum(F.when(over, F.col("cap")).otherwise(0.0)).alias("caps"), F.sum(F.when(over, 0.0).otherwise(F.col("weight"))).alias("open"), F.sum(over.cast("long")).alias("n")).first()
+        got = df.agg(F.sum("source_size").alias("total"), F.sum(F.when(over, F.col("cap")).otherwise(0.0)).alias("caps"), F.sum(F.when(over, 0.0).otherwise(F.col("weight"))).alias("open"), F.sum(over.cast("long")).alias("n")).first()
         if not got.open or got.n == capped_before:
             break
-        level, capped_before = (total - got.caps) / got.open, got.n
-    return held.df.select("key", "source_size", "weight", F.least("cap", F.lit(level) * F.col("weight")).alias("target"))
+        level, capped_before = (got.total - got.caps) / got.open, got.n
+    return df.select("key", "source_size", "weight", F.least("cap", F.lit(level) * F.col("weight")).alias("target"))
 
 
 def tilt(size: Column, mean: Column) -> Column:
@@ -87,39 +88,52 @@ def rate(size: Column, mean: Column, multiplier: Column, copies: int = COPIES) -
 def multipliers(histogram: DataFrame, wanted: DataFrame, copies: int = COPIES) -> Cut:
     """histogram(key, size, n), wanted(key, source_size, target, mean) -> Cut of wanted with lambda.
 
-    A source whose target is all that its copies can give has an infinite multiplier from the start.
+    A source's histogram becomes one row: its k sizes differ, so k * (k + 1) / 2 is no more than its words, and the row
+    is small whatever the corpus. A pass over these rows takes STEPS safeguarded Newton steps for every source that
+    is not yet solved; passes follow until all are. A source whose target is all that its copies can give has an infinite
+    multiplier from the start.
     """
+    packed = histogram.where("size > 0").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("size", "n"))).alias("bars"))
     full = F.col("target") >= F.col("source_size") * (copies * (1 - 1e-12))
     first = F.when(full, F.lit(float("inf"))).otherwise(F.log(F.col("target") / F.col("source_size")))
-    state = Cut(wanted.select("*", F.coalesce(first, F.lit(0.0)).alias("lambda"), F.lit(-700.0).alias("low"), F.lit(1e9).alias("high"), (full | (F.col("source_size") == 0)).alias("met")))
-    turn = 0
-    while not state.df.where(~F.col("met")).isEmpty():
-        turn += 1
-        if turn > 400:
-            raise ArithmeticError("the dual did not converge")
-        at = histogram.where("size > 0").join(state.df.where(~F.col("met")).select("key", "mean", "lambda"), "key")
-        r = rate(F.col("size"), F.col("mean"), F.col("lambda"), copies)
-        slope = F.when(r < copies, r * tilt(F.col("size"), F.col("mean"))).otherwise(0.0)
-        moments = at.groupBy("key").agg(F.sum(F.col("n") * F.col("size") * r).alias("got"), F.sum(F.col("n") * F.col("size") * slope).alias("slope"))
-        step = state.df.join(moments, "key", "left")
-        off = F.col("got") - F.col("target")
-        low, high = F.when(off < 0, F.col("lambda")).otherwise(F.col("low")), F.when(off > 0, F.col("lambda")).otherwise(F.col("high"))
-        newton = F.col("lambda") - off / F.when(F.col("slope") > 0, F.col("slope"))
-        inside = (newton > low) & (newton < high) & F.lit(turn % 3 != 0)
-        # Halves in proportion where the bracket is still wide: from -700 to 1e9 both ends matter.
-        middle = F.when((low > 1) & (high > 4 * low), F.sqrt(low * high)).when((low <= 1) & (high > 4), F.lit(2.0)).otherwise((low + high) / 2)
-        narrow = high - low <= F.lit(1e-13) * F.greatest(F.lit(1.0), F.abs("lambda"))
-        done = F.col("met") | F.col("got").isNull() | narrow | (F.abs(off) <= 1e-10 * F.greatest(F.lit(1.0), F.col("target")))
-        after = Cut(step.select(
-            *[c for c in wanted.columns],
-            F.when(done, F.col("lambda")).when(inside, newton).otherwise(middle).alias("lambda"),
-            F.when(done, F.col("low")).otherwise(low).alias("low"),
-            F.when(done, F.col("high")).otherwise(high).alias("high"),
-            done.alias("met"),
-        ))
+    begin = F.struct(F.coalesce(first, F.lit(0.0)).alias("lambda"), F.lit(-700.0).alias("low"), F.lit(1e9).alias("high"), (full | (F.col("source_size") == 0)).alias("met"))
+    # Each bar as its words and its tilt, both constant over the steps.
+    bars = F.transform("bars", lambda x: F.struct((x["size"] * x["n"]).cast("double").alias("words"), tilt(x["size"], F.col("mean")).alias("tilt")))
+    state = Cut(wanted.join(packed, "key", "left").select(*wanted.columns, F.coalesce(bars, F.array().cast("array<struct<words:double,tilt:double>>")).alias("bars"), begin.alias("at")))
+
+    def step(at: Column, turn: Column) -> Column:
+        here = lambda tilt_: F.least(F.lit(float(copies)), F.exp(F.least(F.lit(30.0), at["lambda"] * tilt_)))
+        zero = F.struct(F.lit(0.0).alias("got"), F.lit(0.0).alias("slope"))
+        add = lambda m, x, r: F.struct((m["got"] + x["words"] * r).alias("got"), (m["slope"] + F.when(r < copies, x["words"] * r * x["tilt"]).otherwise(0.0)).alias("slope"))
+        moments = F.aggregate("bars", zero, lambda m, x: add(m, x, here(x["tilt"])))
+        return F.when(at["met"], at).otherwise(F.transform(F.array(moments), lambda m: _moved(at, m, turn))[0])
+
+    steps = F.sequence(F.lit(1), F.lit(STEPS))
+    passes = 0
+    while True:
+        moved = Cut(state.df.withColumn("at", F.aggregate(steps, F.col("at"), step)))
         state.drop()
-        state = after
-    return state
+        state, passes = moved, passes + 1
+        if state.df.where(~F.col("at.met")).isEmpty():
+            break
+        if passes > 20:
+            raise ArithmeticError("the dual did not converge")
+    solved = Cut(state.df.select(*wanted.columns, F.col("at.lambda").alias("lambda")))
+    state.drop()
+    return solved
+
+
+def _moved(at: Column, moments: Column, turn: Column) -> Column:
+    """The state after one step: Newton's where it stays in the bracket, else (and every third time) to its middle."""
+    off = moments["got"] - F.col("target")
+    low, high = F.when(off < 0, at["lambda"]).otherwise(at["low"]), F.when(off > 0, at["lambda"]).otherwise(at["high"])
+    newton = at["lambda"] - off / F.when(moments["slope"] > 0, moments["slope"])
+    inside = F.coalesce((newton > low) & (newton < high) & (turn % 3 != 0), F.lit(False))
+    # In proportion where the bracket is still wide: from -700 to 1e9 both ends matter.
+    middle = F.when((low > 1) & (high > 4 * low), F.sqrt(low * high)).when((low <= 1) & (high > 4), F.lit(2.0)).otherwise((low + high) / 2)
+    narrow = high - low <= F.lit(1e-13) * F.greatest(F.lit(1.0), F.abs(at["lambda"]))
+    done = narrow | (F.abs(off) <= 1e-10 * F.greatest(F.lit(1.0), F.col("target")))
+    return F.struct(F.when(done, at["lambda"]).when(inside, newton).otherwise(middle).alias("lambda"), low.alias("low"), high.alias("high"), done.alias("met"))
 
 
 def _ratio(rates: Column, mark: Column) -> Column:

@@ -7,8 +7,9 @@ column expressions over the statistics, so scoring is a projection.
 
 Defined cases: null and wordless texts have all statistics zero and a score like any other; labels that
 are null or neither 0 nor 1 are ignored; of repeated label rows the larger label holds; without training
-labels the score is 0.5, with labels of one class only it is that class's smoothed share. An empty
-table gives no rows.
+labels the score is 0.5, with labels of one class only it is that class's smoothed share; of documents that
+repeat an id one is learned from, that with the least statistics, and all are scored; equal splits go to the first
+statistic and cut. Long texts count whole; further columns are not looked at. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textstats as S
-from .common import Cut, map_arrow
+from .common import Cut, kind_of, map_arrow
 from .toxicity import sampled_labels
 
 #: About so many labelled rows are learned from, at most.
@@ -33,13 +34,13 @@ Path = tuple[tuple[int, bool, float], ...]
 
 def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, one double for each of textstats.FEATURES)."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
 
     def make(batch: pa.RecordBatch) -> list:
         x = np.array([S.features(t.as_py()) for t in batch.column(1)])
         return [batch.column(0), *(pa.array(c) for c in x.T)]
 
-    return map_arrow(rows, "doc_id long, " + ", ".join(f"{n} double" for n in S.FEATURES), make)
+    return map_arrow(rows, f"doc_id {kind_of(docs, id_col)}, " + ", ".join(f"{n} double" for n in S.FEATURES), make)
 
 
 def _split(x: np.ndarray, r: np.ndarray, rows: np.ndarray, cuts: list[np.ndarray], usable: np.ndarray) -> tuple[int, float] | None:
@@ -156,9 +157,11 @@ def fit(x: np.ndarray, y: np.ndarray) -> Model:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_train: int = MAX_TRAIN) -> Model:
     known, _ = sampled_labels(labels, "quality", max_train, 3, 1)
     # The sample's bound is what makes this broadcast safe, and what bounds the rows of statistics gathered here.
-    chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(known), F.col("doc_id") == F.col("__gs_id"), "left_semi")
+    chosen = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(known), F.col("doc_id") == F.col("__gs_id"), "left_semi")
     stats = Cut(statistics(chosen))
-    rows = stats.df.join(F.broadcast(known), F.col("doc_id") == F.col("__gs_id")).select("__gs_y", *S.FEATURES)
+    # One row an id, so the bound holds where documents repeat one.
+    single = stats.df.groupBy("doc_id").agg(F.min(F.struct(*S.FEATURES)).alias("x")).select("doc_id", "x.*")
+    rows = single.join(F.broadcast(known), F.col("doc_id") == F.col("__gs_id")).select("__gs_y", *S.FEATURES)
     got = np.array(sorted(tuple(r) for r in rows.collect()), float).reshape(-1, 1 + len(S.FEATURES))
     stats.drop()
     return fit(got[:, 1:], got[:, 0])

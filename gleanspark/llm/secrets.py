@@ -23,6 +23,7 @@ import hashlib
 import math
 import re
 from collections import Counter
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,11 +36,11 @@ ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 ACCESS = re.compile(rb"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(rb"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "format")
-#: The characters and the least length of labelled values.
-CANDIDATE = re.compile(rb"[A-Za-z0-9+/_.=-]{6,}")
-#: Ordinary words: lower case or capitalised letters, joined by hyphens, a full stop at most behind them.
-_WORD = re.compile(rb"[A-Z]?[a-z]+(?:-[A-Za-z]?[a-z]+)*\.?")
-_EDGE = b"._-/+="
+#: Candidates in the shape of a text: the characters and the least length of labelled values.
+CANDIDATE = re.compile(rb"[dhlHL+/_.=-]{6,}")
+#: Shapes of ordinary words: lower case or capitalised letters, joined by hyphens, a full stop at most behind them.
+_WORD = re.compile(r"[HL]?[hl]+(?:-[HLhl]?[hl]+)*\.?")
+_EDGE = "._-/+="
 #: Bounds of the sample that is learned from, for each kind: formats, and their signs all together.
 MAX_LABELLED, MAX_SIGNS = 4000, 1_000_000
 ALPHA = 0.05
@@ -61,15 +62,22 @@ def credentials(text: bytes) -> list[tuple[int, bytes]]:
     return out + [(1, m[0]) for m in ACCESS.finditer(text)] + [(2, m[0]) for m in HEX.finditer(text)]
 
 
-def shape(value: bytes) -> str:
-    """Character classes: d digit, h a-f, l other lower case, H A-F, L other upper case, or the sign itself."""
-    return value.decode("latin-1").translate(_CLASSES)
+def _class(c: int) -> int:
+    """d digit, h a-f, l other lower case, H A-F, L other upper case, a sign itself, a space for what stands in no value."""
+    for sign, members in ((b"d", b"0123456789"), (b"h", b"abcdef"), (b"H", b"ABCDEF"), (b"l", bytes(range(0x61, 0x7B))), (b"L", bytes(range(0x41, 0x5B)))):
+        if c in members:
+            return sign[0]
+    return c if c in b"+/_.=-" else 0x20
 
 
-_CLASSES = {**{ord(c): "d" for c in "0123456789"}, **{ord(c): "h" for c in "abcdef"}, **{ord(c): "l" for c in "ghijklmnopqrstuvwxyz"}, **{ord(c): "H" for c in "ABCDEF"}, **{ord(c): "L" for c in "GHIJKLMNOPQRSTUVWXYZ"}}
+_CLASSES = bytes(_class(c) for c in range(256))
 _SIZE = {"d": 10, "h": 6, "l": 20, "H": 6, "L": 20}
 
 
+def shape(value: bytes) -> str:
+    return value.translate(_CLASSES).decode("ascii")
+
+
 class Automaton:
     """A probabilistic automaton by state merging. states: {symbol: (count, next)}, stops: endings per state."""
 
@@ -88,11 +96,9 @@ class Automaton:
                 arc[0] += n
                 at = arc[1]
             self.stops[at] += n
+        self.totals = [n + sum(a[0] for a in arcs.values()) for n, arcs in zip(self.stops, self.arcs)]
         self._merge_all()
 
-    def _total(self, s: int) -> int:
-        return self.stops[s] + sum(a[0] for a in self.arcs[s].values())
-
     def _differ(self, x: int, n: int, y: int, m: int) -> bool:
         if not n or not m:
             return False
@@ -103,7 +109,7 @@ class Automaton:
         stack = [(a, b)]
         while stack:
             a, b = stack.pop()
-            n, m = self._total(a), self._total(b)
+            n, m = self.totals[a], self.totals[b]
             if min(n, m) < LEAST_SEEN:
                 continue
             if self._differ(self.stops[a], n, self.stops[b], m):
@@ -122,6 +128,7 @@ class Automaton:
         while stack:
             a, b = stack.pop()
             self.stops[a] += self.stops[b]
+            self.totals[a] += self.totals[b]
             for c, (n, to) in self.arcs[b].items():
                 if c in self.arcs[a]:
                     self.arcs[a][c][0] += n
@@ -152,11 +159,11 @@ class Automaton:
         """Mean log-likelihood per symbol, the ending included; classes are spread over their characters."""
         at, total = 0, 0.0
         for c in text:
-            n = self._total(at) if at >= 0 else 0
+            n = self.totals[at] if at >= 0 else 0
             arc = self.arcs[at].get(c) if at >= 0 else None
             total += math.log(((arc[0] if arc else 0) + 0.01) / (n + 0.2)) - math.log(_SIZE.get(c, 1))
             at = arc[1] if arc else -1
-        stop = (self.stops[at] + 0.01) / (self._total(at) + 0.2) if at >= 0 else 0.05
+        stop = (self.stops[at] + 0.01) / (self.totals[at] + 0.2) if at >= 0 else 0.05
         return (total + math.log(stop)) / (len(text) + 1)
 
 
@@ -177,22 +184,23 @@ class Model:
     def accepts_shape(self, text: str) -> bool:
         return self.margin(text) is not None
 
-    def part(self, run: bytes) -> tuple[int, int, float] | None:
-        """Start and end, within a run, of what is accepted, and its margin: all of it or all but the punctuation at its ends, whichever has the greater."""
-        got = self.margin(shape(run))
+    def part(self, run: str) -> tuple[int, int, float] | None:
+        """Start and end, within a run's shape, of what is accepted, and its margin: all of it or all but the punctuation at its ends, whichever has the greater."""
+        got = self.margin(run)
         bare = run.strip(_EDGE)
-        if 6 <= len(bare) < len(run) and (more := self.margin(shape(bare))) is not None and (got is None or more > got):
+        if 6 <= len(bare) < len(run) and (more := self.margin(bare)) is not None and (got is None or more > got):
             start = len(run) - len(run.lstrip(_EDGE))
             return start, start + len(bare), more
         return None if got is None else (0, len(run), got)
 
 
 def outside(text: bytes, spans: list[tuple[int, int, int]]) -> list[tuple[int, bytes]]:
-    """(start, run) of the candidates that touch no base span, in one walk along both; spans ascend by start."""
+    """(start, shape) of the candidates that touch no base span, in one walk along both; spans ascend by start."""
+    found = CANDIDATE.finditer(text.translate(_CLASSES))
     if not spans:
-        return [(m.start(), m[0]) for m in CANDIDATE.finditer(text)]
+        return [(m.start(), m[0]) for m in found]
     out, k, upto = [], 0, 0
-    for m in CANDIDATE.finditer(text):
+    for m in found:
         while k < len(spans) and spans[k][0] < m.end():
             upto = max(upto, spans[k][1])
             k += 1
@@ -205,45 +213,42 @@ _KNOWN = 200_000
 
 
 def _added(text: bytes, spans: list[tuple[int, int, int]], known: dict[bytes, tuple[int, int, float] | None], model: Model) -> tuple[list[tuple[int, int, int]], float | None]:
-    """Spans of accepted candidates and their greatest margin; `known` remembers what was said of a run."""
+    """Spans of accepted candidates and their greatest margin; `known` remembers what was said of a shape."""
     if not model.kinds:
         return [], None
-    if not spans:
-        runs = set(CANDIDATE.findall(text))
-        for run in runs.difference(known):
-            known[run] = model.part(run)
-        if not any(known[run] for run in runs):
-            if len(known) >= _KNOWN:
-                known.clear()
-            return [], None
+    if len(known) >= _KNOWN:
+        known.clear()
+    shapes = set(CANDIDATE.findall(text.translate(_CLASSES)))
+    for run in shapes.difference(known):
+        known[run] = model.part(run.decode("ascii"))
+    if not any(known[run] for run in shapes):
+        return [], None
     out, best = [], None
     for start, run in outside(text, spans):
-        if run not in known:
-            known[run] = model.part(run)
-        part = known[run]
-        if part:
+        if part := known[run]:
             out.append((start + part[0], start + part[1], 3))
             best = part[2] if best is None else max(best, part[2])
-    if len(known) >= _KNOWN:
-        known.clear()
     return out, best
 
 
-def _sample(shapes: DataFrame, kind: int, max_labelled: int, max_signs: int) -> dict[str, int]:
-    """Formats of a kind with their counts, drawn by a hash; each that still fits into the signs left."""
-    mine = shapes.where(F.col("kind") == kind).select("shape", "n", F.length("shape").alias("len"), unit_hash(F.lit("shape"), F.col("shape")).alias("draw"))
-    first = mine.orderBy("draw", "shape").limit(max_labelled)
-    left, most = max_signs, -1.0
-    fits = []
-    for r in first.select("draw", "len").collect():
-        if r.len <= left:
-            fits.append(r.draw)
-            left -= r.len
-            most = max(most, r.draw)
-    taken = set(fits)
-    # Those that don't fit are left out before they come to the driver.
-    longest = max_signs - left
-    return {r.shape: r.n for r in mine.where((F.col("draw") <= most) & (F.col("len") <= longest)).select("shape", "n", "draw").toLocalIterator() if r.draw in taken} if fits else {}
+def _samples(shapes: DataFrame, kinds: range, max_labelled: int, max_signs: int) -> list[dict[str, int]]:
+    """Formats of each kind with their counts, drawn by a hash; each that still fits into the kind's signs."""
+    drawn = shapes.select("kind", "shape", "n", F.length("shape").alias("len"), unit_hash(F.lit("shape"), F.col("shape")).alias("draw"))
+    first = [drawn.where(F.col("kind") == k).orderBy("draw", "shape").limit(max_labelled).select("kind", "draw", "len") for k in kinds]
+    taken: list[set[float]] = [set() for _ in kinds]
+    left = [max_signs] * len(kinds)
+    for r in sorted(reduce(DataFrame.unionByName, first).collect()):
+        if r.len <= left[r.kind]:
+            taken[r.kind].add(r.draw)
+            left[r.kind] -= r.len
+    # What can't have been taken is left out before it comes to the driver.
+    wanted = [(F.col("kind") == k) & (F.col("draw") <= max(t)) & (F.col("len") <= max_signs - left[k]) for k, t in zip(kinds, taken) if t]
+    out: list[dict[str, int]] = [{} for _ in kinds]
+    if wanted:
+        for r in drawn.where(reduce(lambda a, b: a | b, wanted)).toLocalIterator():
+            if r.draw in taken[r.kind]:
+                out[r.kind][r.shape] = r.n
+    return out
 
 
 def _least(automaton: Automaton, counts: dict[str, int]) -> float:
@@ -263,35 +268,24 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_l
     """Automata from at most about `max_labelled` labelled formats and as many ordinary runs, drawn by a hash."""
     rows = docs.select(F.col(text_col).cast("binary").alias("text"))
 
-    def fold(count, runs):
-        for value, n in runs.items():
-            key = (3 if _WORD.fullmatch(value) else 4, shape(value))
-            count[key] = count.get(key, 0) + n
-        runs.clear()
-
     def run(batches):
-        count: dict[tuple[int, str], int] = {}
-        runs: Counter = Counter()
+        count: Counter = Counter()
         for batch in batches:
             for x in batch.column(0):
                 text = x.as_py() or b""
                 known = credentials(text)
-                for kind, value in known:
-                    key = (kind, shape(value))
-                    count[key] = count.get(key, 0) + 1
-                runs.update((r for _, r in outside(text, base_spans(text))) if known else CANDIDATE.findall(text))
-                if len(runs) >= 100_000:
-                    fold(count, runs)
+                count.update((kind, shape(value).encode()) for kind, value in known)
+                runs = (r for _, r in outside(text, base_spans(text))) if known else CANDIDATE.findall(text.translate(_CLASSES))
+                count.update((3, r) for r in runs)
                 if len(count) >= 100_000:
                     yield _counted(count)
                     count.clear()
-        fold(count, runs)
         if count:
             yield _counted(count)
 
     shapes = rows.mapInArrow(run, "kind int, shape string, n long").groupBy("kind", "shape").agg(F.sum("n").alias("n"))
     cut = Cut(shapes)
-    picked = [_sample(cut.df, kind, max_labelled, MAX_SIGNS) for kind in range(5)]
+    picked = _samples(cut.df, range(5), max_labelled, MAX_SIGNS)
     cut.drop()
     kinds = [Automaton(c) for c in picked[:3] if c]
     least = [_least(a, c) for a, c in zip(kinds, [c for c in picked[:3] if c])]
@@ -301,8 +295,11 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_l
     return Model(kinds, Automaton(usual) if usual else None, least)
 
 
-def _counted(count: dict) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({"kind": pa.array([k[0] for k in count], pa.int32()), "shape": [k[1] for k in count], "n": pa.array(list(count.values()), pa.int64())})
+def _counted(count: Counter) -> pa.RecordBatch:
+    """Rows of a kind, a shape and its count; of runs outside the base spans ordinary words are kind 3, others 4."""
+    rows = [(k, s.decode("ascii"), n) for (k, s), n in count.items()]
+    kinds = [k if k < 3 or _WORD.fullmatch(s) else 4 for k, s, _ in rows]
+    return pa.RecordBatch.from_pydict({"kind": pa.array(kinds, pa.int32()), "shape": [s for _, s, _ in rows], "n": pa.array([n for *_, n in rows], pa.int64())})
 
 
 def _points(text: bytes, spans: list[tuple[int, int, int]]) -> list[str]:

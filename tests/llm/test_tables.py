@@ -305,20 +305,94 @@ def distance(a, b):
     return row[-1]
 
 
-def test_automaton_equals_all_beginnings():
+def test_automaton_equals_plain_distances():
     rng = random.Random(6)
-    entries = ["idiot", "scum", "moron", "mor", "clown", "abba", "réeux", "disgust"]
-    lex = toxicity.Lexicon(entries)
-    words = ["idiot", "idiots", "idoit", "1diot", "idot", "iddiot", "clwn", "scam", "", "i", "réeuxa", "reeuxa", "mormon", "mo", "disguts"]
+    entries = ["idiot", "scum", "moron", "mor*", "clown", "abba", "réeux*", "disgust", "class"]
+    lex = toxicity.Lexicon(entries, frozenset(["glass"]))
+    words = ["idiot", "idiots", "idoit", "1diot", "idot", "iddiot", "clwn", "scam", "", "i", "réeuxa", "reeuxa", "reeux", "mormon", "mo", "disguts", "glass", "lass", "classy", "classroom", "subclass"]
     words += ["".join(rng.choices("abdilmnorst", k=rng.randrange(9))) for _ in range(400)]
-    words += ["".join(c if rng.random() < 0.85 else rng.choice("aeiouxyz") for c in rng.choice(entries)) + rng.choice(["", "s", "xyz"]) for _ in range(400)]
+    words += ["".join(c if rng.random() < 0.85 else rng.choice("aeiouxyz") for c in rng.choice(entries).rstrip("*")) + rng.choice(["", "s", "xyz"]) for _ in range(400)]
     for w in words:
         found = lex.find(w)
-        exact = any(w.startswith(e) for e in entries)
-        near = any(distance(e, w[:k]) <= 1 for e in entries if len(e) >= toxicity.FUZZY_FROM for k in range(len(w) + 1))
+        exact = w in entries or any(w.startswith(e[:-1]) for e in entries if e.endswith("*"))
+        near = w != "glass" and any(distance(e.rstrip("*"), w) == 1 for e in entries if len(e.rstrip("*")) >= toxicity.FUZZY_FROM)
         assert (found is not None) == (exact or near), w
         if found:
             assert found[1] == (0 if exact else 1), w
+    assert lex.find("glass") is None and lex.find("classroom") is None and lex.find("x" * 100_000) is None
+
+
+def test_lexicon_has_no_bounds():
+    """Rare, long and many entries; stems only where words share a beginning."""
+    pos = {f"abuse{i:04d}word": 6 for i in range(900)} | {"x" * 60: 6}
+    pos |= {w[:k] + "*": 6 for w in list(pos) for k in range(3, 13)} | {"abu*": 5400, "abus*": 5400, "abuse*": 5400}
+    entries, odds = toxicity.choose(pos, {}, 10_000, 90_000)
+    assert "abuse*" in entries and "x" * 60 in entries and all(o >= 3 for o in odds)
+    many = {f"{i:03d}zz": 8 for i in range(700)}
+    assert len(toxicity.choose(many, {}, 1000, 9000)[0]) == 700
+    assert toxicity.choose({"rare": 2}, {}, 1000, 9000)[0] == []
+
+
+def test_context_is_learned(spark, make):
+    """Quotation without marks: the words around a term tell, as far as the labels do."""
+    rng = random.Random(30)
+    docs, labels = [], []
+    for i in range(500):
+        filler = rng.choices(GOOD, k=30)
+        toxic = i % 2
+        docs.append((i, " ".join(filler[:15]) + (" you stinking idiot " if toxic else " our dictionary lists idiot entry ") + " ".join(filler[15:])))
+        labels.append((i, 1, toxic))
+        if i % 5 == 0:
+            docs.append((1000 + i, " ".join(filler)))
+            labels.append((1000 + i, 1, 0))
+    for i in range(2000, 3500):  # so that the term itself is toxic by odds
+        docs.append((i, " ".join(rng.choices(GOOD, k=12))))
+        labels.append((i, 1, 0))
+    for i in range(4000, 4300):
+        docs.append((i, "idiot " + " ".join(rng.choices(GOOD, k=12)) + " stinking"))
+        labels.append((i, 1, 1))
+    table, lab = make(docs), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = toxicity.Model(["idiot"], [4.0], [0.0] * 12)
+    lexicon = model.lexicon()
+    got = {r.sign: r.n for r in toxicity._surroundings(table.where("doc_id < 500 and doc_id % 2 = 0").select("text"), lexicon).collect()}
+    assert got[""] == 250 and got["dictionary"] == 250
+    assert toxicity.evidence(lexicon, [4.0], "our dictionary lists idiot entry", {"dictionary": -2.0, "lists": -1.0})[-1] == 3.0
+    trained = toxicity.train(table, lab)
+    assert trained.context == {} or trained.context.get("dictionary", 0) <= 0
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the sample tables")
+def test_toxicity_query_equals_plain(spark):
+    """Every row of the query, scored again by distances to all entries from the exported model."""
+    from gleanspark.llm import queries
+    from gleanspark.llm.common import table
+
+    docs = table(spark, DATA, "documents")
+    model = toxicity.train(docs, table(spark, DATA, "labels"))
+    got = {r.doc_id: r for r in queries.op9_toxicity(spark, DATA).collect()}
+    known = {}
+
+    def find(w):
+        if w not in known:
+            known[w] = None
+            stems = [i for i, e in enumerate(model.entries) if e.endswith("*") and w.startswith(e[:-1])]
+            exact = [i for i, e in enumerate(model.entries) if e.rstrip("*") == w]
+            near = [i for i, e in enumerate(model.entries) if len(e.rstrip("*")) >= toxicity.FUZZY_FROM and abs(len(e.rstrip("*")) - len(w)) < 2 and distance(e.rstrip("*"), w) == 1]
+            if stems or exact:
+                known[w] = ((stems or exact)[0], 0)
+            elif near and w not in model.ordinary:
+                known[w] = (near[0], 1)
+        return known[w]
+
+    class Plain:
+        pass
+
+    plain = Plain()
+    plain.find = find
+    for r in docs.collect():
+        z = model.weights[0] + float(np.dot(toxicity.evidence(plain, model.odds, r.text, model.context), model.weights[1:]))
+        assert got[r.doc_id].score == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, z)))), abs=1e-9)
+        assert got[r.doc_id].predicted == int(got[r.doc_id].score >= 0.5) and got[r.doc_id].held_out == (crc(r.doc_id, 5) == 0)
 
 
 BAD, GOOD = ["idiot", "scum", "moron"], "the of and house river stone water light under over slowly green seven".split()
@@ -415,6 +489,31 @@ def test_compiled_rules_equal_the_model(spark, make):
     assert [got[i] for i in range(120)] == pytest.approx(list(1 / (1 + np.exp(-z))))
 
 
+def test_lasso_is_optimal():
+    """The conditions of the optimum: no gradient beyond the penalty, and all of it where a weight isn't zero."""
+    rng = np.random.default_rng(3)
+    a = (rng.random((400, 12)) < 0.4).astype(float)
+    y = (a[:, 0] + a[:, 1] - a[:, 2] + rng.normal(0, 0.7, 400) > 0.5).astype(float)
+    for penalty in (0.002, 0.02, 0.2):
+        b, w = quality.lasso(a, y, penalty, rounds=20_000)
+        r = 1 / (1 + np.exp(-(b + a @ w))) - y
+        grad = a.T @ r / len(y)
+        assert abs(r.mean()) < 1e-4 and np.all(np.abs(grad) <= penalty + 1e-4)
+        assert np.allclose(grad[w != 0], -penalty * np.sign(w[w != 0]), atol=1e-4)
+
+
+def test_repeated_documents(spark, make):
+    """Rows that repeat an id are all scored; one is learned from."""
+    docs, labels = talk(random.Random(12), 150)
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    once, often = make(docs), make(docs * 3)
+    for module, column in ((toxicity, "toxic"), (quality, "quality")):
+        one, three = module.train(once, lab), module.train(often, lab)
+        assert sorted(r.score for r in module.score(once, one).collect()) * 3 != [] and module.score(often, three).count() == 450
+        a, b = {r.doc_id: r.score for r in module.score(once, one).collect()}, {r.doc_id: r.score for r in module.score(often, three).collect()}
+        assert a == pytest.approx(b)
+
+
 def test_quality_without_labels(spark, make):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert [r.score for r in quality.score(make([(1, None), (2, "x")]), quality.train(make([]), none)).collect()] == [0.5, 0.5]
