@@ -147,5 +147,25 @@ FROM g
 """
 
 
+#: Highest of 40 (and 41) MD5 draws a row; CRC-32 by its table of 256 entries, which eight shifts make.
+OP6_SQL = r"""
+WITH crc AS (
+  SELECT list_transform(range(0, 256), lambda b: list_reduce(list_concat([b::BIGINT], range(0, 8)),
+    lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+d AS (
+  SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 16 AS size,
+    list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda b: ('0x' || b)::BIGINT) AS bytes,
+    list_transform(range(0, 41), lambda k: ('0x' || left(md5(coalesce('k' || doc_id::VARCHAR, '') || ':' || k::VARCHAR), 13))::BIGINT) AS draws
+  FROM documents),
+s AS (
+  SELECT doc_id, size::BIGINT AS size,
+    xor(list_reduce(list_concat([4294967295], bytes), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)::BIGINT AS text_crc32,
+    (list_position(draws[1:40], list_max(draws[1:40])) - 1)::INT AS shard, (list_position(draws, list_max(draws)) - 1)::INT AS grown_shard
+  FROM d, crc)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, grown_shard
+FROM s
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_rules": OP4_SQL, "op7_decontam": OP7_SQL, "op8_chat": OP8_SQL}
+    return {"op4_rules": OP4_SQL, "op6_sharding": OP6_SQL, "op7_decontam": OP7_SQL, "op8_chat": OP8_SQL}

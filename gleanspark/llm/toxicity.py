@@ -39,8 +39,8 @@ SHORTEST, LONGEST = 3, 12
 LEAST_WORDS = 3
 #: Shorter entries admit no error.
 FUZZY_FROM = 5
-#: Log odds of an entry, and its likelihood ratio (chi-square with one degree of freedom, one in 10,000).
-LEAST_ODDS, LEAST_RATIO = 3.0, 15.14
+#: Log odds of an entry, and the chance that any of all the terms tested enters by accident.
+LEAST_ODDS, ACCIDENT = 3.0, 0.01
 WINDOW = 8
 #: Openers and closers of quotation, and words of reporting.
 QUOTES = "\"“”„«»‘’‹›"
@@ -271,6 +271,11 @@ def _ratio(a: float, n: float, b: float, m: float) -> float:
     return g
 
 
+def _enough(tested: int) -> float:
+    """The likelihood ratio that one term must have where so many are tested: exp(-x / 2) bounds the tail of chi-square."""
+    return 2 * math.log(max(1, tested) / ACCIDENT)
+
+
 def _odds(a: float, n: float, b: float, m: float) -> float:
     return math.log((a + 0.5) / (n + 1)) - math.log((b + 0.5) / (m + 1))
 
@@ -281,7 +286,8 @@ def choose(pos: dict[str, int], neg: dict[str, int], n_pos: int, n_neg: int) ->
     A beginning is a stem if at least LEAST_WORDS toxic words have it and none of its longer beginnings has nearly all
     of its toxic texts; of nested stems the shortest holds. Words that a stem covers are left to it.
     """
-    good = {t for t, n in pos.items() if (odds := _odds(n, n_pos, neg.get(t, 0), n_neg)) >= LEAST_ODDS and _ratio(n, n_pos, neg.get(t, 0), n_neg) >= LEAST_RATIO}
+    least = _enough(len(pos))
+    good = {t for t, n in pos.items() if _odds(n, n_pos, neg.get(t, 0), n_neg) >= LEAST_ODDS and _ratio(n, n_pos, neg.get(t, 0), n_neg) >= least}
     words = [t for t in pos if not t.endswith("*")]
     having: dict[str, int] = {}
     longer: dict[str, int] = {}
@@ -366,7 +372,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     lexicon = Lexicon(entries, ordinary)
     near, far = ({r.sign: r.n for r in _surroundings(part, lexicon).collect()} for part in (toxic, other))
     n, m = near.pop("", 0), far.pop("", 0)
-    signs = {x for x in near.keys() | far.keys() if n and m and _ratio(near.get(x, 0), n, far.get(x, 0), m) >= LEAST_RATIO}
+    signs = {x for x in near.keys() | far.keys() if n and m and _ratio(near.get(x, 0), n, far.get(x, 0), m) >= _enough(len(near.keys() | far.keys()))}
     context = {x: _odds(near.get(x, 0), n, far.get(x, 0), m) for x in sorted(signs)}
 
     def run(batch: pa.RecordBatch) -> list:

@@ -1,7 +1,6 @@
 import random
 import re
 
-import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -90,14 +89,10 @@ def test_documents(spark, make):
     assert [by[i][0].component_id for i in (5, 3, 9, 7, 8, 2, 4)] == [3, 3, 9, 2, 2, 2, 4]
     assert by[7][0].fingerprint == "0" * 16
     assert sorted((r.component_id for r in by[None]), key=str) == [9, None]
-    docs = make(rows)
-    kept = S.keep_one(docs)
-    assert kept.columns == docs.columns
-    assert sorted((r.doc_id for r in kept.collect()), key=str) == [2, 3, 4, 9, None, None]
 
 
 def test_empty(spark, make):
-    assert S.near_duplicates(make([])).count() == 0 and S.keep_one(make([])).count() == 0
+    assert S.near_duplicates(make([])).count() == 0
 
 
 def test_maximum_coordinate_difference_bounds_distance():
@@ -105,8 +100,8 @@ def test_maximum_coordinate_difference_bounds_distance():
     for _ in range(200):
         x = rng.getrandbits(64)
         y = near(rng, x, 1, 2)[0]
-        assert max(abs((x ^ p).bit_count() - (y ^ p).bit_count()) for p in S.HASHED) <= (x ^ y).bit_count() <= 2
-    assert len(set(S.HASHED)) == 16 and np.uint64(S.BASE)
+        assert max(abs((x ^ p).bit_count() - (y ^ p).bit_count()) for p in S.PIVOTS) <= (x ^ y).bit_count() <= 2
+    assert len(set(S.PIVOTS)) == 16
 
 
 def test_no_link_is_lost_between_cells(spark):
@@ -115,7 +110,32 @@ def test_no_link_is_lost_between_cells(spark):
     x = rng.getrandbits(64)
     all_near = [x] + [x ^ (1 << i) for i in range(64)] + [x ^ (1 << i) ^ (1 << j) for i in range(64) for j in range(i)]
     df = spark.createDataFrame([(S._signed(f), i) for i, f in enumerate(all_near)], "fp long, rid long")
-    cells = S.cells(df)
+    cells = S.cells(S.pivot_table(df))
     mine = [r.cell for r in cells.where("rid = 0").collect()]
     assert len(mine) == 6
     assert cells.where(F.col("cell").isin(mine)).select("rid").distinct().count() == len(all_near)
+
+
+def test_text_ids_keep_their_type(spark):
+    rows = [("b", "one two three four"), ("a", "One two three four"), (None, "other words"), ("c", None)]
+    got = {r.doc_id: r.component_id for r in S.near_duplicates(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert got == {"a": "a", "b": "a", None: None, "c": "c"}
+
+
+def test_query_equals_all_pairs(spark):
+    """The query over a whole table against fingerprints and links of all pairs."""
+    import os
+
+    from gleanspark.llm import queries
+
+    data = "/root/testdata/sf0.001"
+    if not os.path.isdir(data):
+        pytest.skip("needs the sample tables")
+    rows = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect()
+    fps = [plain_fingerprint(r.text) for r in rows]
+    links = [(i, j) for i in range(len(rows)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 2]
+    root, least = roots(len(rows), links), {}
+    for r, k in zip(rows, root):
+        least[k] = min(least.get(k, r.doc_id), r.doc_id)
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in queries.op1_simhash(spark, data).collect()}
+    assert got == {r.doc_id: (f"{f:016x}", least[k]) for r, f, k in zip(rows, fps, root)}

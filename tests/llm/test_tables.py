@@ -132,6 +132,23 @@ def test_shard_weights(spark):
         sharding.shard_of(F.col("doc_id"), [1.0, 0.0])
 
 
+def test_shards_equal_plain_rendezvous(make):
+    """The highest score of all shards, written out, with weights; one repeated row is numbered without gaps."""
+    import hashlib
+
+    rows = [(i, "t") for i in range(300)] + [(None, "n")] + [(5, "hot")] * 400
+    weights = [1.0, 2.0, 0.5, 1.0]
+
+    def plain(key, w):
+        draw = lambda k: (int(hashlib.md5((f"k{key}" if key is not None else "").encode() + f":{k}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+        return max(range(len(w)), key=lambda k: (w[k] / -math.log(draw(k)), -k))
+
+    got = sharding.shards(make(rows), weights=weights).collect()
+    assert all(r.shard == plain(r.doc_id, weights) and r.grown_shard == plain(r.doc_id, [*weights, 1.0]) for r in got)
+    for k in range(4):
+        assert sorted(r.slot for r in got if r.shard == k) == list(range(sum(r.shard == k for r in got)))
+
+
 def test_shards_of_nothing(make):
     assert sharding.shards(make([])).count() == 0
 
@@ -324,13 +341,13 @@ def test_automaton_equals_plain_distances():
 
 def test_lexicon_has_no_bounds():
     """Rare, long and many entries; stems only where words share a beginning."""
-    pos = {f"abuse{i:04d}word": 6 for i in range(900)} | {"x" * 60: 6}
-    pos |= {w[:k] + "*": 6 for w in list(pos) for k in range(3, 13)} | {"abu*": 5400, "abus*": 5400, "abuse*": 5400}
+    pos = {f"abuse{i:04d}word": 9 for i in range(900)} | {"x" * 60: 9}
+    pos |= {w[:k] + "*": 9 for w in list(pos) for k in range(3, 13)} | {"abu*": 8100, "abus*": 8100, "abuse*": 8100}
     entries, odds = toxicity.choose(pos, {}, 10_000, 90_000)
     assert "abuse*" in entries and "x" * 60 in entries and all(o >= 3 for o in odds)
     many = {f"{i:03d}zz": 8 for i in range(700)}
     assert len(toxicity.choose(many, {}, 1000, 9000)[0]) == 700
-    assert toxicity.choose({"rare": 2}, {}, 1000, 9000)[0] == []
+    assert toxicity.choose({"rare": 1}, {}, 1000, 9000)[0] == []
 
 
 def test_context_is_learned(spark, make):
@@ -528,15 +545,18 @@ def test_quality_without_labels(spark, make):
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the sample tables")
 def test_pipeline(spark):
     import corpus_pipeline
-    from gleanspark.llm import decontam, simhash
+    from test_similar import plain_kept
+
+    from gleanspark.llm import decontam
     from gleanspark.llm.common import table
 
     docs = table(spark, DATA, "documents")
     labels = table(spark, DATA, "labels")
     scored = toxicity.score(docs, toxicity.train(docs, labels)).where("predicted = 0").select("doc_id")
     left = docs.join(scored, "doc_id", "left_semi").select(docs.columns)
-    rows = simhash.near_duplicates(left).where("doc_id = component_id").select("doc_id")
-    left = left.join(rows, "doc_id", "left_semi").select(docs.columns)
+    rows = left.select("doc_id", "text").collect()
+    stay = plain_kept([(r.doc_id, r.text) for r in rows])
+    left = left.where(F.col("doc_id").isin(stay))
     bad = decontam.contamination(left, table(spark, DATA, "benchmark")).where("contaminated").select("doc_id")
     left = left.join(bad, "doc_id", "left_anti").select(docs.columns)
     copies = {r.doc_id: r.copies for r in mixing.mix(left).collect() if r.copies}
@@ -548,21 +568,67 @@ def test_pipeline(spark):
 
 
 def test_stages_take_odd_rows(spark, make, tmp_path):
+    """Null ids and texts, repeated rows, a long text, clashing columns, an empty table: what stays, stage by stage."""
     import corpus_pipeline
 
-    docs = make([(1, None), (None, "a b"), (2, ""), (2, ""), (3, "x " * 50_000, "s"), (None, None)])
+    docs = make([(1, None), (None, "a b"), (2, ""), (2, ""), (3, "x " * 50_000, "s"), (None, None), (4, "zz yy")])
     spark.createDataFrame([(1, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([(1, "zz yy")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    for table in (docs, docs.limit(0)):
-        now = table
-        for i, (_, stage) in enumerate(corpus_pipeline.STAGES[:4]):
-            now = stage(spark, now, str(tmp_path))
-            assert now.columns == docs.columns
-            now.count()
+    left = {"toxicity": [1, None, 2, 2, 3, None, 4], "near_duplicates": [1, None, 3, None, 4], "decontamination": [1, None, 3, None]}
+    now = docs
+    for name, stage in corpus_pipeline.STAGES:
+        after = stage(spark, now, str(tmp_path))
+        rows = after.collect()
+        if name in left:
+            assert sorted(map(str, (r.doc_id for r in rows))) == sorted(map(str, left[name])), name
+        if name == "sharding":
+            assert after.columns == [*docs.columns, "shard_1"] and all(r.shard == "x" and 0 <= r.shard_1 < 40 for r in rows)
+        else:
+            assert after.columns == docs.columns
+            assert all(r.lang is None and r.shard == r.size == r.key == "x" for r in rows)
+        now = spark.createDataFrame(rows, after.schema)
+    now = docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        now = stage(spark, now, str(tmp_path))
+        assert now.count() == 0
+
+
+def test_stages_with_hot_rows_and_null_ids_meet_targets(make):
+    """A source of null ids and equal rows: 1,000 of 10 words each, taken to within one document."""
+    rows = [(None, "ten words " * 5, "a")] * 1000 + [(i, "w " * 40, "b") for i in range(500)] + [(7, "one two three", "c")] * 300
+    got = mixing.mix(make(rows)).collect()
+    assert len(got) == len(rows)
+    taken, target = {}, {}
+    for r in got:
+        taken[r.source_size] = taken.get(r.source_size, 0) + r.taken
+        target[r.source_size] = r.target
+    for size, t in target.items():
+        assert abs(taken[size] - t) <= {10_000: 10, 20_000: 40, 900: 3}[size]
+    docs = make(rows)
+    out = mixing.mixed_documents(docs)
+    by = {r.source: r.n for r in out.groupBy("source").agg(F.count("*").alias("n")).collect()}
+    assert by == {"a": taken[10_000] // 10, "b": taken[20_000] // 40, "c": taken[900] // 3}
+
+
+def test_rates_equal_a_plain_convex_solver(spark):
+    """Least sum of q (r log r - r + 1) under the constraint, by bisection on the multiplier in plain Python."""
+    rng = random.Random(31)
+    for case in range(4):
+        sizes = [1 + int(rng.lognormvariate(3, 1.5)) for _ in range(200)]
+        mean, total = sum(sizes) / len(sizes), sum(sizes)
+        share = (0.003, 0.4, 1.7, 2.9)[case]
+        low, high = -700.0, 1e6
+        words = lambda lam: sum(s * min(3.0, math.exp(min(30, lam * (s / mean) ** 0.25))) for s in sizes)
+        for _ in range(300):
+            middle = (low + high) / 2
+            low, high = (middle, high) if words(middle) < share * total else (low, middle)
+        hist = spark.createDataFrame([("0a", s, sizes.count(s)) for s in set(sizes)], "key string, size long, n long")
+        wanted = spark.createDataFrame([("0a", total, 5.0, share * total, mean)], "key string, source_size long, weight double, target double, mean double")
+        assert mixing.multipliers(hist, wanted).df.first()["lambda"] == pytest.approx((low + high) / 2, rel=1e-6)
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the sample tables")
-@pytest.mark.parametrize("name", ["op4_rules", "op7_decontam", "op8_chat"])
+@pytest.mark.parametrize("name", ["op4_rules", "op6_sharding", "op7_decontam", "op8_chat"])
 def test_query_equals_sql(spark, name):
     import duckdb
 
