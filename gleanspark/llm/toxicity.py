@@ -13,8 +13,8 @@ weights of their own. A logistic model on these counts gives the score.
 
 Defined cases: null and empty texts have no hits and get the score of a text without hits; labels that
 are null or neither 0 nor 1 are ignored; of repeated label rows the larger label holds; of documents that repeat
-an id one is learned from, the least; all are scored; without any training label of 1 the lexicon is empty and
-every score is the same. Long texts and long words are read whole. Further columns stay (reject_toxic) or are not
+an id one is learned from, the least; all are scored; without training labels of both classes the lexicon is empty and
+every text is kept. Long texts and long words are read whole. Further columns stay (reject_toxic) or are not
 looked at. An empty table gives no rows.
 """
 
@@ -360,7 +360,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = Cut(texts.join(F.broadcast(known), "__gs_id").groupBy("__gs_id", "__gs_y").agg(F.min("text").alias("text")).select("text", "__gs_y"))
     size = {r[0]: r[1] for r in rows.df.groupBy("__gs_y").count().collect()}
     n_pos, n_neg = size.get(1, 0), size.get(0, 0)
-    if not n_pos:
+    if not n_pos or not n_neg:
         rows.drop()
         return Model([], [], [-5.0] + [0.0] * N_FEATURES)
     toxic, other = (rows.df.where(F.col("__gs_y") == y).select("text") for y in (1, 0))
