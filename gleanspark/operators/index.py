@@ -7,6 +7,7 @@ half of the aggregation, so what is shuffled is one row for each term of a docum
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,22 +88,25 @@ def merge(posts: DataFrame, vocabulary: DataFrame, new_docs: DataFrame, update_t
 
     Counts add up and df follows; tf is computed anew for touched postings only (with update_tf off it stays,
     0 for new ones); idf stays as it was, 0 for new terms, until refresh_idf().
+
+    The new documents' counts are appended and meet the old ones in one aggregation by (term, document): over a
+    stored index that is one exchange with partial sums, no join. What changes in the vocabulary is found from the
+    postings of the new terms and documents only, which semi-joins pick before anything is exchanged.
     """
-    delta = tokens(new_docs).groupBy("term", "doc_id").agg(F.count("*").alias("n"), F.min("pos").alias("p"))
-    both = posts.join(delta, ["term", "doc_id"], "full_outer")
-    cnt = F.coalesce("cnt", F.lit(0)) + F.coalesce("n", F.lit(0))
-    fresh = T.tf(cnt) if update_tf else F.coalesce("tf", F.lit(0.0))
-    merged = both.select("term", "doc_id", cnt.alias("cnt"), F.coalesce("first_pos", "p").alias("first_pos"), F.when(F.col("n").isNull(), F.col("tf")).otherwise(fresh).alias("tf"))
-    # Only the terms of the new documents change: what is aggregated follows their size, not the index's.
-    fresh_rows = both.where(F.col("cnt").isNull()).groupBy("term")
-    gained = fresh_rows.agg(F.count("*").alias("more"), F.max(F.struct(F.col("doc_id"), (-F.col("p")).alias("back"))).alias("new_at"))
-    terms = vocabulary.join(gained, "term", "full_outer")
-    return merged, terms.select(
-        "term",
-        (F.coalesce("df", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("df"),
-        F.coalesce("idf", F.lit(0.0)).alias("idf"),
-        F.coalesce("first_at", "new_at").alias("first_at"),
-    )
+    delta = tokens(new_docs).groupBy("term", "doc_id").agg(F.count("*").alias("cnt"), F.min("pos").alias("first_pos"))
+    none = F.lit(None).cast("double")
+    old = posts.select("term", "doc_id", "cnt", "first_pos", "tf", F.lit(1).alias("was"), F.lit(0).alias("new"))
+    both = old.unionByName(delta.select("term", "doc_id", "cnt", "first_pos", none.alias("tf"), F.lit(0).alias("was"), F.lit(1).alias("new")))
+    # An old posting's place comes before a new one's.
+    summed = both.groupBy("term", "doc_id").agg(F.sum("cnt").alias("cnt"), F.min_by("first_pos", "new").alias("first_pos"), F.max("tf").alias("tf"), F.max("new").alias("new"))
+    fresh = T.tf(F.col("cnt")) if update_tf else F.coalesce("tf", F.lit(0.0))
+    merged = summed.select("term", "doc_id", "cnt", "first_pos", F.when(F.col("new") == 0, F.col("tf")).otherwise(fresh).alias("tf"))
+    touched = posts.join(delta.select("term", "doc_id"), ["term", "doc_id"], "left_semi").select("term", "doc_id")
+    gained = delta.join(touched, ["term", "doc_id"], "left_anti").groupBy("term")
+    more = gained.agg(F.count("*").alias("df"), F.max(F.struct(F.col("doc_id"), (-F.col("first_pos")).alias("back"))).alias("first_at"))
+    known = vocabulary.select("term", "df", "idf", "first_at", F.lit(0).alias("new"))
+    terms = known.unionByName(more.select("term", "df", none.alias("idf"), "first_at", F.lit(1).alias("new")))
+    return merged, terms.groupBy("term").agg(F.sum("df").alias("df"), F.coalesce(F.max("idf"), F.lit(0.0)).alias("idf"), F.min_by("first_at", "new").alias("first_at"))
 
 
 def refresh_idf(vocabulary: DataFrame, total: int | Column) -> DataFrame:
@@ -110,15 +114,21 @@ def refresh_idf(vocabulary: DataFrame, total: int | Column) -> DataFrame:
     return vocabulary.withColumn("idf", T.idf(F.col("df"), n))
 
 
-def document_vectors(posts: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """(doc_id, dim, cnt): bags of words; dim is a term's place by first appearance.
+def dimensions(vocabulary: DataFrame) -> DataFrame:
+    """(term, dim): a term's place by first appearance.
 
     Places come from a range partitioning: counts of the terms in each range, then numbers inside it, so no
-    task orders the whole vocabulary.
+    task orders the whole vocabulary. The numbered table is kept before it is used twice, so its ranges are drawn once.
     """
-    ranged = vocabulary.select("term", "first_at").repartitionByRange(F.desc("first_at")).withColumn("part", F.spark_partition_id())
-    sizes = ranged.groupBy("part").agg(F.count("*").alias("n"))
-    starts = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("start"))
-    inside = F.row_number().over(Window.partitionBy("part").orderBy(F.desc("first_at")))
-    dims = ranged.withColumn("at", inside).join(F.broadcast(starts), "part").select("term", (F.col("start") + F.col("at") - 1).alias("dim"))
-    return posts.join(dims, "term").select("doc_id", "dim", "cnt")
+    ranged = vocabulary.select("term", "first_at").repartitionByRange(F.desc("first_at")).sortWithinPartitions(F.desc("first_at"))
+    numbered = ranged.select("term", F.monotonically_increasing_id().alias("at")).persist(StorageLevel.DISK_ONLY)
+    part = F.shiftright("at", 33)
+    sizes = numbered.groupBy(part.alias("part")).agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    # One row a partition, so this window is small whatever the vocabulary.
+    starts = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n") - F.col("first")).alias("shift"))
+    return numbered.withColumn("part", part).join(F.broadcast(starts), "part").select("term", (F.col("at") + F.col("shift")).alias("dim"))
+
+
+def document_vectors(posts: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(doc_id, dim, cnt): bags of words."""
+    return posts.join(dimensions(vocabulary), "term").select("doc_id", "dim", "cnt")

@@ -14,6 +14,8 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.cuts import shared_dir, written
+
 CLOSE = 1e-5
 FIRST_RSS = 1e6
 
@@ -78,8 +80,8 @@ class KMeansModel:
 
 
 def initial(points: DataFrame, k: int, seed: int = 0) -> list[list[float]]:
-    """Seed 0: the first k points by id; other seeds: k points by a hash of id and seed."""
-    order = [F.col("id")] if seed == 0 else [F.xxhash64(F.col("id").cast("string"), F.lit(seed)), F.col("id")]
+    """Seed 0: the first k points by id; other seeds: k points by an MD5 of id and seed."""
+    order = [F.col("id")] if seed == 0 else [F.md5(F.concat(F.col("id").cast("string"), F.lit(f":{seed}"))), F.col("id")]
     got = [list(r.x) for r in points.orderBy(*order).limit(k).collect()]
     if len(got) < k:
         raise TypeError(f"{k} clusters need at least {k} points, got {len(got)}")
@@ -124,9 +126,13 @@ def train(points: DataFrame, k: int, seed: int = 0, max_rounds: int | None = Non
 
     The RSS of a step is known one job later, together with the next step's means, so each step is one job.
     """
-    kept = points.select("id", F.transform("x", lambda v: v.cast("double")).alias("x")).persist(StorageLevel.MEMORY_AND_DISK)
+    # Points without a vector, or with a null in it, are nowhere: they are left out.
+    whole = points.where(F.col("x").isNotNull() & ~F.exists("x", lambda v: v.isNull()))
+    kept = whole.select("id", F.transform("x", lambda v: v.cast("double")).alias("x")).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         before = initial(kept, k, seed)
+        if not kept.where(F.size("x") != len(before[0])).isEmpty():
+            raise TypeError(f"all points need {len(before[0])} dimensions, as the first has")
         now = _step(kept, before, before)[1]
         last, history = FIRST_RSS, []
         while True:
@@ -146,11 +152,51 @@ def best_of(points: DataFrame, k: int, seeds: int = 3) -> tuple[int, KMeansModel
 
 
 def assign_sparse(vectors: DataFrame, centroids: DataFrame) -> DataFrame:
-    """vectors(doc_id, dim, cnt), centroids(cid, dim, v) -> (doc_id, cid, dist), as |x|^2 - 2xc + |c|^2 in long form."""
+    """vectors(doc_id, dim, cnt), centroids(cid, dim, v) -> (doc_id, cid, dist), as |x|^2 - 2xc + |c|^2 in long form.
+
+    A document meets only the centroids that share a dimension with it. Of all others the nearest is the one with the
+    least |c|^2, and among these the one of least number, so a ranking of the centroids by |c|^2 (one row each, k of them) stands for
+    the rest: the first that the document did not meet.
+    """
     x2 = vectors.groupBy("doc_id").agg(F.sum(F.col("cnt") * F.col("cnt")).cast("double").alias("x2"))
     c2 = centroids.groupBy("cid").agg(F.sum(F.col("v") * F.col("v")).alias("c2"))
-    dots = vectors.join(centroids, "dim").groupBy("doc_id", "cid").agg(F.sum(F.col("cnt") * F.col("v")).alias("xc"))
-    pairs = x2.join(c2, F.lit(True)).join(dots, ["doc_id", "cid"], "left")
-    d = F.sqrt(F.greatest(F.lit(0.0), F.col("x2") - 2 * F.coalesce("xc", F.lit(0.0)) + F.col("c2")))
-    best = pairs.groupBy("doc_id").agg(F.min(F.struct(d.alias("dist"), "cid")).alias("b"))
-    return best.select("doc_id", "b.cid", "b.dist")
+    dots = vectors.join(centroids.where("v <> 0"), "dim").groupBy("doc_id", "cid").agg(F.sum(F.col("cnt") * F.col("v")).alias("xc"))
+    ranked = c2.agg(F.array_sort(F.collect_list(F.struct("c2", "cid"))).alias("all"))
+    met = dots.join(c2, "cid").groupBy("doc_id").agg(F.collect_set("cid").alias("met"), F.min(F.struct((F.col("c2") - 2 * F.col("xc")).alias("gap"), "cid")).alias("near"))
+    whole = x2.join(met, "doc_id", "left").withColumn("all", ranked.scalar())
+    other = F.try_element_at(F.filter("all", lambda c: ~F.array_contains(F.coalesce("met", F.array().cast("array<int>")), c["cid"])), F.lit(1))
+    rest = F.when(other.isNotNull(), F.struct(other["c2"].alias("gap"), other["cid"].alias("cid")))
+    best = whole.withColumn("best", F.least("near", rest))
+    return best.select("doc_id", F.col("best.cid").alias("cid"), F.sqrt(F.greatest(F.lit(0.0), F.col("x2") + F.col("best.gap"))).alias("dist"))
+
+
+def train_sparse(vectors: DataFrame, k: int, max_rounds: int | None = None) -> tuple[DataFrame, DataFrame, list[float]]:
+    """Lloyd steps over bags of words: (assigned, centroids, history of the RSS), to convergence as in train().
+
+    The first k documents by id begin. Centroids are rows (cid, dim, v) without zeros and stay a table, whatever the
+    vocabulary; the driver holds one number a step. A step's tables are written to the shared folder, so no lineage grows.
+    """
+    folder = shared_dir(vectors.sparkSession)
+    bags = written(vectors.select("doc_id", "dim", "cnt"), folder)
+    ids = [r.doc_id for r in bags.select("doc_id").distinct().orderBy("doc_id").limit(k).collect()]
+    if len(ids) < k:
+        raise TypeError(f"{k} clusters need at least {k} documents, got {len(ids)}")
+    number = F.element_at(F.create_map(*[F.lit(x) for i, d in enumerate(ids) for x in (d, i)]), F.col("doc_id"))
+    centroids = bags.where(F.col("doc_id").isin(ids)).select(number.alias("cid"), "dim", F.col("cnt").cast("double").alias("v"))
+    last, history = FIRST_RSS, []
+    while True:
+        assigned = written(assign_sparse(bags, centroids), folder)
+        size = assigned.groupBy("cid").agg(F.count("*").alias("n"))
+        sums = bags.join(assigned.select("doc_id", "cid"), "doc_id").groupBy("cid", "dim").agg(F.sum("cnt").alias("s"))
+        moved = sums.join(size, "cid").select("cid", "dim", (F.col("s") / F.col("n")).alias("v"))
+        moved = written(moved.unionByName(centroids.join(size.select("cid"), "cid", "left_anti")), folder)
+        # |x - c| to the moved centroid of a document's own cluster.
+        x2 = bags.groupBy("doc_id").agg(F.sum(F.col("cnt") * F.col("cnt")).cast("double").alias("x2"))
+        c2 = moved.groupBy("cid").agg(F.sum(F.col("v") * F.col("v")).alias("c2"))
+        own = bags.join(assigned.select("doc_id", "cid"), "doc_id").join(moved, ["cid", "dim"]).groupBy("doc_id", "cid").agg(F.sum(F.col("cnt") * F.col("v")).alias("xc"))
+        dist = own.join(x2, "doc_id").join(c2, "cid").select(F.sqrt(F.greatest(F.lit(0.0), F.col("x2") - 2 * F.col("xc") + F.col("c2"))).alias("d"))
+        rss = (dist.agg(F.sum("d").alias("s")).first().s or 0.0) / k
+        history.append(rss)
+        if abs(last - rss) < CLOSE or len(history) == max_rounds:
+            return assigned, moved, history
+        last, centroids = rss, moved

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -53,19 +54,21 @@ def train(docs: DataFrame, compat: bool = False, shards: int = 1) -> DataFrame:
     """docs(doc_id, text, label) -> (term, weight)."""
     index.require(docs, "doc_id", "text", "label")
     terms = F.transform(T.raw_tokens(F.col("text")), T.normalize)
-    rows = docs.where(F.col("label").isNotNull()).select("doc_id", terms.alias("terms"), F.col("label").cast("int").alias("label"))
-    dealt = rows.repartition(1) if shards == 1 else rows.repartition(shards, F.xxhash64(F.col("doc_id").cast("string")))
-    ordered = dealt.sortWithinPartitions("doc_id", "label", "terms").select("terms", "label")
+    stream = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 8), 16, 10).cast("long") % shards
+    rows = docs.where(F.col("label").isNotNull()).select("doc_id", terms.alias("terms"), F.col("label").cast("int").alias("label"), stream.cast("int").alias("stream"))
+    ordered = rows.repartition(shards, "stream").sortWithinPartitions("stream", "doc_id", "label", "terms").select("terms", "label", "stream")
 
     def run(batches):
         def each():
             for b in batches:
-                yield from zip(b.column(0).to_pylist(), b.column(1).to_pylist())
+                yield from zip(*(c.to_pylist() for c in b.columns))
 
-        weights = list(one_pass(each(), compat).items())
-        for i in range(0, len(weights), 50_000):
-            part = weights[i : i + 50_000]
-            yield pa.RecordBatch.from_pydict({"term": [t for t, _ in part], "weight": [w for _, w in part]})
+        # A partition may hold several streams, one after the other.
+        for _, part in groupby(each(), key=lambda r: r[2]):
+            weights = list(one_pass(((t, y) for t, y, _ in part), compat).items())
+            for i in range(0, len(weights), 50_000):
+                some = weights[i : i + 50_000]
+                yield pa.RecordBatch.from_pydict({"term": [t for t, _ in some], "weight": [w for _, w in some]})
 
     got = ordered.mapInArrow(run, "term string, weight double")
     return got if shards == 1 else got.groupBy("term").agg(F.avg("weight").alias("weight"))
@@ -87,8 +90,8 @@ def assign(docs: DataFrame, weights: DataFrame) -> DataFrame:
 
 
 def extreme(weights: DataFrame, n: int = 10, order: int = 1) -> DataFrame:
-    """The n + 1 least weights (order 1) or greatest (any other); n of 0 or less means all."""
-    by = weights.orderBy(F.col("weight") if order == 1 else F.desc("weight"), "term")
+    """The n + 1 least weights (order 1), greatest (-1) or any (0, as they come); n of 0 or less means all."""
+    by = weights if order == 0 else weights.orderBy(F.col("weight") if order == 1 else F.desc("weight"), "term")
     return by.limit(n + 1) if n > 0 else by
 
 

@@ -65,7 +65,8 @@ def ranked(posts: DataFrame, vocabulary: DataFrame, query: str | list[str], gram
 
     Query weights are all equal, so the cosine is sum(w) / (sqrt(n) * sqrt(sum(w * w))) over the n query
     tokens, w = tf * idf of a token in the document; 1 where all w are 0. A token that is not indexed has
-    w = 0, or raises KeyError if strict.
+    w = 0, or raises KeyError if strict. With wildcards, a pattern's words add candidates but have no weight: the
+    pattern itself is a token that is not indexed.
     """
     asked = entries(query)
     words = T.tokens_of(" ".join(asked))

@@ -90,15 +90,36 @@ class Controller:
         return words if n <= 0 else words.limit(n)
 
     def merge(self, new_docs: DataFrame, update_tf: bool = True) -> None:
-        """Upserts documents into the inverted index; idf stays until refresh_idf()."""
-        posts, terms = index.merge(self._table("postings"), self._table("vocab"), new_docs, update_tf)
-        self._built |= {"postings": posts, "vocab": terms}
+        """Upserts documents into every index; idf stays until refresh_idf().
+
+        A new document takes the place of an old one with its id in the document index, and its words add to that
+        id's postings. Grams are added for the new terms. The merged tables replace the old ones, which are released.
+        """
+        index.require(new_docs, "doc_id", "text")
+        old = {kind: self._table(kind) for kind in ("postings", "vocab", "kgram", "doc")}
+        posts, terms = index.merge(old["postings"], old["vocab"], new_docs, update_tf)
+        fresh = index.terms(new_docs).join(old["vocab"].select("term"), "term", "left_anti")
+        added = index.doc_index(new_docs)
+        kept = old["doc"].join(added.select("doc_id"), "doc_id", "left_anti")
+        merged = {
+            "postings": posts,
+            "vocab": terms,
+            "kgram": old["kgram"].unionByName(kgram.gram_index(fresh, self.k)),
+            "doc": kept.unionByName(added, allowMissingColumns=True),
+        }
+        for kind, df in merged.items():
+            merged[kind] = df.persist()
+            merged[kind].count()
+        for df in old.values():
+            df.unpersist()
+        self._built |= merged
+        self._docs = self._docs.unionByName(new_docs, allowMissingColumns=True)
 
     def refresh_idf(self, total: int) -> None:
         self._built["vocab"] = index.refresh_idf(self._table("vocab"), total)
 
     def regex_docs(self, pattern: str) -> DataFrame:
-        return search.regex_docs(self.docs, pattern).orderBy(F.desc("doc_id"))
+        return search.regex_docs(self._table("doc"), pattern).orderBy(F.desc("doc_id"))
 
     def query_intersection(self, query: str | list[str], wildcard: bool = False, ranked: bool = False, strict: bool = False) -> DataFrame:
         """Documents with all entries in id order, or with any entry by falling rank where ranked."""
@@ -113,3 +134,18 @@ class Controller:
 
     def query_intersection_wildcards(self, query: str | list[str]) -> DataFrame:
         return self.query_intersection(query, wildcard=True)
+
+    def ranked_page(self, query: str | list[str], n: int = 10, wildcard: bool = False) -> str:
+        """The best documents as text: place, rank, id and the beginning of each."""
+        from . import render
+
+        return render.ranked_page(self.query_intersection(query, wildcard, ranked=True).limit(n).collect())
+
+    def interactive(self, read=input, write=print) -> None:
+        """Answers queries line by line until an empty line; words with a star are wildcards, a leading "?" ranks."""
+        while line := read("query> ").strip():
+            ranked, asked = line.startswith("?"), line.lstrip("? ").split()
+            if ranked:
+                write(self.ranked_page(asked, wildcard=any("*" in q for q in asked)))
+            else:
+                write(", ".join(str(r.doc_id) for r in self.query_intersection_wildcards(asked).select("doc_id").collect()) or "nothing found")

@@ -58,8 +58,9 @@ def terms(posts: DataFrame, vocabulary: DataFrame, n: int = 10, verbose: bool =
 
 
 def grams(table: DataFrame, n: int = -1, verbose: bool = True) -> str:
-    words = kgram.words_of(table).orderBy("gram")
-    rows = (words if n < 0 else words.limit(n)).select("gram", F.size("words").alias("n"), F.slice("words", 1, SHOWN).alias("w")).collect()
+    """The first n grams as they come, then in order; a negative n means all."""
+    words = kgram.words_of(table)
+    rows = (words if n < 0 else words.limit(n)).orderBy("gram").select("gram", F.size("words").alias("n"), F.slice("words", 1, SHOWN).alias("w")).collect()
     return _listing("Gram", "words", "words", [(r.gram, r.n, list(r.w)) for r in rows], verbose)
 
 
@@ -96,6 +97,48 @@ def confusion(cm: DataFrame, order: list[str] | None = None) -> str:
     return out
 
 
+def _lines(title: str, rows: dict[str, list[str]], order: list[str] | None) -> str:
+    return f"\n{title}\n" + "".join(f"{label:10}| {', '.join(rows[label]) or '-'}\n" for label in (order or sorted(rows)) if label in rows)
+
+
+def _by_label(cm: DataFrame, names: dict[str, str] | None) -> tuple[dict[tuple[str, str], int], list[str]]:
+    known = {(r.actual, r.predicted): r.n for r in cm.collect()}
+    if names is not None:
+        known = {(names[a], names[p]): n for (a, p), n in known.items() if a in names and p in names}
+    return known, sorted({x for pair in known for x in pair})
+
+
+def true_positives(cm: DataFrame, names: dict[str, str] | None = None, order: list[str] | None = None) -> str:
+    """How many documents of each label were given it; labels by name and in an order where given."""
+    known, labels = _by_label(cm, names)
+    return _lines("true positives", {x: [str(known.get((x, x), 0))] for x in labels}, order)
+
+
+def false_positives(cm: DataFrame, names: dict[str, str] | None = None, order: list[str] | None = None) -> str:
+    """For each label the documents of others that were given it."""
+    known, labels = _by_label(cm, names)
+    return _lines("false positives", {x: [f"{known[a, x]} of {a}" for a in labels if a != x and known.get((a, x))] for x in labels}, order)
+
+
+def true_negatives(cm: DataFrame, names: dict[str, str] | None = None, order: list[str] | None = None) -> str:
+    """For each label its documents that were given another. The name is kept for compatibility."""
+    known, labels = _by_label(cm, names)
+    return _lines("true negatives", {x: [f"{known[x, p]} as {p}" for p in labels if p != x and known.get((x, p))] for x in labels}, order)
+
+
+def ranked_page(rows: list, most: int = 60) -> str:
+    """Documents with doc_id, rank and text in the order given, with the beginning of each text on one line."""
+    out = ""
+    for i, r in enumerate(rows, 1):
+        text = " ".join((r.text or "").split())
+        out += f"{i:3}. {r.rank:8.4f}  {r.doc_id}  {text[:most]}{'...' if len(text) > most else ''}\n"
+    return out
+
+
+def perceptron(n_documents: int, rows: DataFrame) -> str:
+    return f"{n_documents}-{rows.count()}"
+
+
 def weights(rows: DataFrame) -> str:
     return "\nterm      | weight\n" + "".join(f"{r.term:10}| {r.weight}\n" for r in rows.collect())
 

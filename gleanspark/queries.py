@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -13,13 +13,16 @@ from pyspark.sql import functions as F
 from .functions import editdist, lists
 from .functions import text as T
 from .operators import evaluate, index, kgram, kmeans, perceptron, search
+from .plans.controller import Controller
+from .sources.cuts import shared_dir
 from .sources.readers import spread
 from .streaming.index_stream import IndexStream
 
 AND_QUERY, OR_QUERY = ["the", "of", "in"], ["the information of", "with"]
 RANK_QUERY = ["the", "of", "with", "the"]
 WILDCARD, WILDCARDS, REGEX = "*tion", ["th*", "*tion"], "th[aeiou]+t"
-K, KMEANS_ROUNDS = 4, 3
+WILD_RANK_QUERY = ["the", "*tion", "with"]
+K, K_DOCS, SEEDS, STREAMS = 4, 2, 3, 8
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -115,6 +118,24 @@ def ranked_topk(spark, d):
     return search.top(search.ranked(posts, terms, RANK_QUERY).select("doc_id", F.round("rank", 6).alias("rank")), 10)
 
 
+def ranked_wildcard(spark, d):
+    posts, terms = _vocab(spark, d)
+    return search.ranked(posts, terms, WILD_RANK_QUERY, kgram.gram_index(terms), wildcard=True).select("doc_id", F.round("rank", 6).alias("rank"))
+
+
+def merge_then_search(spark, d):
+    """Boolean, wildcard, ranked and regular-expression queries over a controller after a merge."""
+    c = Controller(docs(spark, d))
+    c.merge(items(spark, d))
+    found = {
+        "and": c.query_intersection(["the", "of"]),
+        "wildcard": c.query_intersection(["*tion"], wildcard=True),
+        "regex": c.regex_docs(REGEX),
+        "ranked": c.query_intersection(["the", "of"], ranked=True),
+    }
+    return reduce(DataFrame.unionByName, [df.select(F.lit(kind).alias("kind"), "doc_id") for kind, df in found.items()])
+
+
 def cosine_pairs(spark, d):
     e = table(spark, d, "embeddings").select("vec_id", "embedding")
     after = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
@@ -267,15 +288,15 @@ def _points(spark, d):
 
 def kmeans_assign(spark, d):
     p = _points(spark, d)
-    return kmeans.train(p, K, max_rounds=KMEANS_ROUNDS).assign(p).select(F.col("id").alias("vec_id"), "cid")
+    return kmeans.train(p, K).assign(p).select(F.col("id").alias("vec_id"), "cid")
 
 
 def kmeans_centroids(spark, d):
-    return kmeans.train(_points(spark, d), K, max_rounds=KMEANS_ROUNDS).centroid_rows(spark).select("cid", "dim", F.round("v", 4).alias("v"))
+    return kmeans.train(_points(spark, d), K).centroid_rows(spark).select("cid", "dim", F.round("v", 4).alias("v"))
 
 
 def kmeans_rss(spark, d):
-    history = kmeans.train(_points(spark, d), K, max_rounds=KMEANS_ROUNDS).history
+    history = kmeans.train(_points(spark, d), K).history
     return spark.createDataFrame([(i + 1, r) for i, r in enumerate(history)], "iter int, rss double").select("iter", F.round("rss", 4).alias("rss"))
 
 
@@ -285,13 +306,21 @@ def kmeans_converged(spark, d):
 
 
 def kmeans_best_seed(spark, d):
-    seed, model = kmeans.best_of(_points(spark, d), K)
+    seed, model = kmeans.best_of(_points(spark, d), K, SEEDS)
     return spark.createDataFrame([(seed, model.rss)], "seed int, rss double").select("seed", F.round("rss", 4).alias("rss"))
 
 
+def kmeans_docs(spark, d):
+    """The benchmark's items as bags of words, clustered to convergence."""
+    bench = items(spark, d)
+    posts = index.postings(bench)
+    assigned, _, _ = kmeans.train_sparse(index.document_vectors(posts, index.vocab(posts, bench)), K_DOCS)
+    return assigned.select("doc_id", "cid")
+
+
 def kmeans_closest(spark, d):
     p = _points(spark, d)
-    return kmeans.train(p, K, max_rounds=KMEANS_ROUNDS).closest(p, 4).select("cid", "rn", F.col("id").alias("vec_id"))
+    return kmeans.train(p, K).closest(p, 4).select("cid", "rn", F.col("id").alias("vec_id"))
 
 
 def _hashed_weights(spark, d):
@@ -312,7 +341,7 @@ def perceptron_train(spark, d):
 
 
 def perceptron_train_averaged(spark, d):
-    return perceptron.train(_labelled(spark, d), shards=8).select("term", F.round("weight", 6).alias("weight"))
+    return perceptron.train(_labelled(spark, d), shards=STREAMS).select("term", F.round("weight", 6).alias("weight"))
 
 
 def extreme_weights(spark, d):
@@ -324,7 +353,7 @@ def weight_summaries(spark, d):
 
 
 def stream_index(spark, d):
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="gleanspark-stream-")
+    shared = shared_dir(spark)
     stream = IndexStream(spark, os.path.join(shared, f"stream-{uuid.uuid4().hex}"))
     schema = table(spark, d, "documents").schema
     source = f"{d}/documents.[p]arquet"  # as a pattern it may be a file or a folder
@@ -334,11 +363,11 @@ def stream_index(spark, d):
 
 QUERIES: tuple[Callable, ...] = (
     term_postings, vocab_idf, index_head, term_lookup, index_stats, posting_top3, doc_index_dedup, doc_index_head, merge_new_docs, merge_refresh_idf,
-    bool_and, bool_or, posting_intersect, posting_union, ranked_or, ranked_topk, cosine_pairs, regex_docs, regex_pages,
+    bool_and, bool_or, posting_intersect, posting_union, ranked_or, ranked_topk, ranked_wildcard, merge_then_search, cosine_pairs, regex_docs, regex_pages,
     kgram_index, kgram3_index, kgram_words, kgram_word_count, wildcard_expand, wildcard_exact, wildcard_and,
     lev_pairs, lev_within, lev_matrix, lev_matrix_detailed, in_sorted, list_ops,
     confusion_single, confusion_multi, confusion_notcat, mapped_labels, precision_recall, f1, tp_fp_tn,
-    doc_vectors, kmeans_assign, kmeans_centroids, kmeans_rss, kmeans_converged, kmeans_best_seed, kmeans_closest,
+    doc_vectors, kmeans_assign, kmeans_centroids, kmeans_rss, kmeans_converged, kmeans_best_seed, kmeans_closest, kmeans_docs,
     perceptron_predict, perceptron_train, perceptron_train_averaged, extreme_weights, weight_summaries, stream_index,
 )
 
@@ -377,19 +406,23 @@ def _in(values: list[str]) -> str:
     return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
 
 
+# What patterns and queries of the catalogue come to, written out so that the SQL leans on no code of the engine.
+_PATTERN_GRAMS = {"*tion": ("ti", "io", "on", "n$"), "th*": ("$t", "th")}
+_RANK_TOKENS, _RANK_TERMS = ("the", "of", "with", "the"), ("the", "of", "with")
+_WILD_TOKENS, _WILD_TERMS = ("the", "*tion", "with"), ("the", "with")
+
+
 def _expand(pattern: str) -> str:
-    grams = sorted(set(T.wildcard_grams(pattern)))
-    return f"SELECT term FROM grams WHERE gram IN ({_in(grams)}) GROUP BY term HAVING count(*) = {len(grams)}"
+    grams = _PATTERN_GRAMS[pattern]
+    return f"SELECT term FROM grams WHERE gram IN ({_in(list(grams))}) GROUP BY term HAVING count(*) = {len(grams)}"
 
 
-def _rank() -> str:
-    words = T.tokens_of(" ".join(RANK_QUERY))
-    terms = sorted({T.normalize_text(q) for q in RANK_QUERY})
-    asked = ", ".join(f"('{w}')" for w in words)
-    return f"""{_BASE}, q(term) AS (VALUES {asked}),
-cand AS (SELECT DISTINCT doc_id FROM posts WHERE term IN ({_in(terms)})),
+def _rank(tokens: tuple[str, ...] = _RANK_TOKENS, terms: tuple[str, ...] = _RANK_TERMS, base: str = "", more: str = "") -> str:
+    asked = ", ".join(f"('{w}')" for w in tokens)
+    return f"""{base or _BASE}, q(term) AS (VALUES {asked}),
+cand AS (SELECT DISTINCT doc_id FROM posts WHERE term IN ({_in(list(terms))}{more})),
 s AS (SELECT doc_id, sum(w) AS s, sum(w * w) AS ss FROM (SELECT doc_id, {_TF} * idf AS w FROM q JOIN posts USING (term) JOIN vocab USING (term)) GROUP BY doc_id)
-SELECT doc_id, round(CASE WHEN coalesce(ss, 0) = 0 THEN 1 ELSE s / (sqrt({len(words)}) * sqrt(ss)) END, 6) AS rank FROM cand LEFT JOIN s USING (doc_id)"""
+SELECT doc_id, round(CASE WHEN coalesce(ss, 0) = 0 THEN 1 ELSE s / (sqrt({len(tokens)}) * sqrt(ss)) END, 6) AS rank FROM cand LEFT JOIN s USING (doc_id)"""
 
 
 _ITEMS = "SELECT item_id + 1000000000 AS doc_id, text FROM benchmark"
@@ -415,15 +448,46 @@ lab AS (SELECT unnest(ys) AS l FROM pairs UNION SELECT unnest(yhats) FROM pairs{
 cm AS (SELECT a.l AS actual, p.l AS predicted, coalesce(n, 0) AS n FROM lab a CROSS JOIN lab p LEFT JOIN counted ON counted.actual = a.l AND counted.predicted = p.l)"""
 
 
-def _kmeans(last: str) -> str:
-    steps = []
-    for i in range(KMEANS_ROUNDS):
-        steps.append(f"""a{i} AS MATERIALIZED (SELECT vec_id, any_value(x) AS x, min_by(cid, row(list_distance(x, c), cid)) AS cid FROM e CROSS JOIN c{i} GROUP BY vec_id),
-m{i} AS (SELECT cid, list(m ORDER BY pos) AS c FROM (SELECT cid, pos, avg(v) AS m FROM (SELECT cid, unnest(x) AS v, generate_subscripts(x, 1) AS pos FROM a{i}) GROUP BY cid, pos) GROUP BY cid),
-c{i + 1} AS MATERIALIZED (SELECT c{i}.cid, coalesce(m{i}.c, c{i}.c) AS c FROM c{i} LEFT JOIN m{i} USING (cid)),""")
-    first = f"""WITH e AS (SELECT vec_id, list_transform(embedding, lambda v: v::DOUBLE) AS x FROM embeddings),
-c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS cid, x AS c FROM (SELECT * FROM e ORDER BY vec_id LIMIT {K})),"""
-    return f"{first}\n{chr(10).join(steps)[:-1]}\n{last}"
+_POINTS = "p AS (SELECT vec_id AS id, list_transform(embedding, lambda v: v::DOUBLE) AS x FROM embeddings)"
+
+
+def _kmeans(last: str, points: str = _POINTS, k: int = K, seeds: int = 1) -> str:
+    """Lloyd steps as a recursion over one row a seed, which holds all points; done has the last step of each seed."""
+    near = "list_transform(xs, lambda x: list_position(list_transform({0}, lambda c: list_distance(x, c)), list_min(list_transform({0}, lambda c: list_distance(x, c)))))"
+    first = f"SELECT seed, list(x ORDER BY rn) AS cs FROM (SELECT seed, x, row_number() OVER (PARTITION BY seed ORDER BY CASE WHEN seed > 0 THEN md5(id::VARCHAR || ':' || seed::VARCHAR) END, id) AS rn FROM p, range({seeds}) AS s(seed)) WHERE rn <= {k} GROUP BY seed"
+    return f"""WITH RECURSIVE {points}, every AS (SELECT list(x ORDER BY id) AS xs, list(id ORDER BY id) AS ids, any_value(len(x)) AS dims FROM p), start AS ({first}),
+run(seed, i, before, now, rss, gap) AS (
+  SELECT seed, 0, cs, cs, 1e6::DOUBLE, 1e6::DOUBLE FROM start
+  UNION ALL
+  SELECT seed, i + 1, now, means, new, abs(rss - new) FROM (
+    SELECT *, list_sum(list_transform(range(1, len(xs) + 1), lambda r: list_distance(xs[r], means[cids[r]]))) / {k} AS new FROM (
+      SELECT *, list_transform(range(1, {k + 1}), lambda q: CASE WHEN list_contains(cids, q) THEN list_transform(list_reduce(
+          list_transform(list_filter(range(1, len(xs) + 1), lambda r: cids[r] = q), lambda r: xs[r]), lambda a, b: list_transform(range(1, dims + 1), lambda j: a[j] + b[j])),
+          lambda v: v / len(list_filter(cids, lambda c: c = q))) ELSE now[q] END) AS means FROM (
+        SELECT run.*, xs, dims, {near.format('now')} AS cids FROM run, every WHERE gap >= 1e-5)))),
+done AS (SELECT run.*, ids, xs, {near.format('before')} AS cids FROM run, every QUALIFY row_number() OVER (PARTITION BY seed ORDER BY i DESC) = 1),
+member AS (SELECT unnest(ids) AS id, unnest(cids) - 1 AS cid, unnest(xs) AS x, now FROM done WHERE seed = 0)
+{last}"""
+
+
+def _perceptron(streams: int) -> str:
+    """One pass in kernel form: a document's total is that of the first weights and of what each mistake before added to its terms."""
+    return f"""WITH RECURSIVE lab AS (SELECT doc_id, text, CASE WHEN quality = 1 THEN 1 ELSE -1 END AS label, (('0x' || left(md5(doc_id::VARCHAR), 8))::BIGINT % {streams})::INT AS stream FROM documents JOIN labels USING (doc_id)),
+{_tokens("SELECT doc_id, text FROM lab")}, c AS (SELECT doc_id, term, count(*) AS n FROM toks GROUP BY ALL),
+o AS (SELECT doc_id, label, stream, row_number() OVER (PARTITION BY stream ORDER BY doc_id, label) AS r FROM lab),
+t AS (SELECT stream, r, term, n, {_WEIGHT} AS w FROM c JOIN o USING (doc_id)),
+base AS (SELECT stream, r, sum(n * w) AS b FROM t GROUP BY ALL),
+met AS (SELECT x.stream, x.r AS r, y.r AS j, sum(x.n * y.n)::DOUBLE AS k FROM t x JOIN t y ON x.stream = y.stream AND x.term = y.term AND y.r < x.r GROUP BY ALL),
+kern AS (SELECT x.stream, x.r, list(coalesce(k, 0) ORDER BY y.r) AS ks FROM o x JOIN o y ON x.stream = y.stream AND y.r < x.r LEFT JOIN met ON met.stream = x.stream AND met.r = x.r AND met.j = y.r GROUP BY ALL),
+doc AS (SELECT o.stream, o.r, label, coalesce(b, 0) AS b, ks FROM o LEFT JOIN base USING (stream, r) LEFT JOIN kern USING (stream, r)),
+pass(stream, r, alpha) AS (
+  SELECT DISTINCT stream, 0::BIGINT, []::DOUBLE[] FROM o
+  UNION ALL
+  SELECT stream, pass.r + 1, list_append(alpha, CASE WHEN (b + 0.7 * coalesce(list_dot_product(alpha, ks), 0) > 0) = (label = 1) THEN 0.0 ELSE label::DOUBLE END)
+  FROM pass JOIN doc USING (stream) WHERE doc.r = pass.r + 1),
+learned AS (SELECT stream, alpha FROM pass QUALIFY row_number() OVER (PARTITION BY stream ORDER BY r DESC) = 1),
+w AS (SELECT stream, term, any_value(w) + 0.7 * sum(n * alpha[r]) AS weight FROM t JOIN learned USING (stream) GROUP BY ALL)
+SELECT term, round(avg(weight), 6) AS weight FROM w GROUP BY term"""
 
 
 _LEV = "FROM nation JOIN region ON n_regionkey = r_regionkey"
@@ -436,7 +500,8 @@ _SIZES = "sz AS (SELECT p_brand, list_sort(list(DISTINCT p_size)) AS s FROM part
 
 def oracle_sql() -> dict[str, str]:
     g2, g3 = f"{_BASE}, {_grams(2)}", f"{_BASE}, {_grams(3)}"
-    terms = {n: [T.normalize_text(q) for q in query] for n, query in (("and", AND_QUERY), ("or", OR_QUERY))}
+    # The boolean queries' terms; an entry of several words is one term, which no document has.
+    terms = {"and": ["the", "of", "in"], "or": ["the information of", "with"]}
     wild = "\nUNION ALL ".join(f"SELECT {i} AS q, term FROM ({_expand(p)})" for i, p in enumerate(WILDCARDS))
     return {
         "term_postings": f"WITH {_tokens()}, {_POSTS} SELECT term, doc_id, cnt, round({_TF}, 6) AS tf FROM posts",
@@ -496,11 +561,26 @@ SELECT round(p, 6)::DOUBLE AS precision, round(r, 6)::DOUBLE AS recall, round(CA
         "tp_fp_tn": f"""{_confusion(_MULTI)} SELECT 'tp' AS kind, actual AS label, actual AS other, n FROM cm WHERE actual = predicted
 UNION ALL SELECT 'fp', predicted, actual, n FROM cm WHERE actual <> predicted UNION ALL SELECT 'tn', actual, predicted, n FROM cm WHERE actual <> predicted""",
         "doc_vectors": f"{_BASE}, dims AS (SELECT term, row_number() OVER (ORDER BY first_at DESC) - 1 AS dim FROM vocab) SELECT doc_id, dim, cnt FROM posts JOIN dims USING (term)",
-        "kmeans_assign": _kmeans(f"SELECT vec_id, cid::INT AS cid FROM a{KMEANS_ROUNDS - 1}"),
-        "kmeans_centroids": _kmeans(f"SELECT cid::INT AS cid, (generate_subscripts(c, 1) - 1)::INT AS dim, round(unnest(c), 4) AS v FROM c{KMEANS_ROUNDS}"),
-        "kmeans_rss": _kmeans("\nUNION ALL ".join(f"SELECT {i + 1} AS iter, round(sum(list_distance(x, c)) / {K}, 4) AS rss FROM a{i} JOIN c{i + 1} USING (cid)" for i in range(KMEANS_ROUNDS))),
-        "kmeans_closest": _kmeans(f"""SELECT cid::INT AS cid, rn, vec_id FROM (SELECT cid, vec_id, row_number() OVER (PARTITION BY cid ORDER BY list_distance(x, c), vec_id) AS rn
-FROM a{KMEANS_ROUNDS - 1} JOIN c{KMEANS_ROUNDS} USING (cid)) WHERE rn <= 4"""),
+        "kmeans_assign": _kmeans("SELECT id AS vec_id, cid::INT AS cid FROM member"),
+        "kmeans_centroids": _kmeans("SELECT (c - 1)::INT AS cid, (generate_subscripts(now[c], 1) - 1)::INT AS dim, round(unnest(now[c]), 4) AS v FROM done, range(1, 5) AS g(c)"),
+        "kmeans_rss": _kmeans("SELECT i::INT AS iter, round(rss, 4) AS rss FROM run WHERE i > 0"),
+        "kmeans_converged": _kmeans("SELECT i::INT AS rounds, round(rss, 4) AS rss FROM done"),
+        "kmeans_best_seed": _kmeans("SELECT seed::INT AS seed, round(rss, 4) AS rss FROM done ORDER BY done.rss, seed LIMIT 1", seeds=SEEDS),
+        "kmeans_closest": _kmeans("SELECT cid::INT AS cid, rn, id AS vec_id FROM (SELECT cid, id, row_number() OVER (PARTITION BY cid ORDER BY list_distance(x, now[cid + 1]), id) AS rn FROM member) WHERE rn <= 4"),
+        "kmeans_docs": _kmeans(
+            "SELECT id AS doc_id, cid::INT AS cid FROM member",
+            f"""{_tokens(_ITEMS)}, bag AS (SELECT doc_id, term, count(*)::DOUBLE AS n FROM toks GROUP BY ALL),
+p AS (SELECT i.doc_id AS id, list(coalesce(n, 0) ORDER BY v.term) AS x FROM (SELECT DISTINCT doc_id FROM toks) i CROSS JOIN (SELECT DISTINCT term FROM toks) v LEFT JOIN bag ON bag.doc_id = i.doc_id AND bag.term = v.term GROUP BY i.doc_id)""",
+            K_DOCS,
+        ),
+        "perceptron_train": _perceptron(1),
+        "perceptron_train_averaged": _perceptron(STREAMS),
+        "ranked_wildcard": _rank(_WILD_TOKENS, _WILD_TERMS, g2, f") OR term IN ({_expand('*tion')}"),
+        "merge_then_search": f"""WITH {_tokens(f"SELECT doc_id, text FROM documents UNION ALL {_ITEMS}")}, {_POSTS}, {_VOCAB.replace('(SELECT count(*) FROM documents)::DOUBLE', '1.0')}, {_grams(2)}
+SELECT 'and' AS kind, doc_id FROM posts WHERE term IN ('the', 'of') GROUP BY doc_id HAVING count(*) = 2
+UNION ALL SELECT DISTINCT 'wildcard', doc_id FROM posts WHERE term IN ({_expand('*tion')})
+UNION ALL SELECT 'regex', doc_id FROM (SELECT doc_id, text FROM documents UNION ALL {_ITEMS}) WHERE regexp_matches(text, '{REGEX}', 'i')
+UNION ALL SELECT DISTINCT 'ranked', doc_id FROM posts WHERE term IN ('the', 'of')""",
         "perceptron_predict": f"WITH {_tokens()} SELECT doc_id, round(coalesce(sum({_WEIGHT}), 0), 6) AS total FROM (SELECT DISTINCT doc_id FROM documents) LEFT JOIN toks USING (doc_id) GROUP BY doc_id",
         "extreme_weights": f"WITH {_tokens()}, {_WEIGHTS} SELECT term, round(weight, 9) AS weight FROM weights ORDER BY weights.weight, term LIMIT 11",
         "weight_summaries": f"{_BASE}, {_WEIGHTS} SELECT term, round(weight, 9) AS weight, df FROM weights JOIN vocab USING (term)",

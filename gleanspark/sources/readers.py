@@ -7,6 +7,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Inputs of this many partitions (8 GB where these are of the usual 128 MB) are never dealt out anew.
+SMALL = 64
 DOC_SCHEMA = "doc_id string, text string, author_id string, timestamp string, labels array<int>"
 
 
@@ -24,6 +26,17 @@ def from_rows(spark: SparkSession, rows: Iterable[dict] | dict | None) -> DataFr
     return spark.createDataFrame(data, DOC_SCHEMA.replace("doc_id string", f"doc_id {kind}"))
 
 
+def generated(spark: SparkSession, n: int, words: int = 60, vocabulary: int = 5000, seed: int = 0) -> DataFrame:
+    """n made-up documents (doc_id, text) for tests of scale, made where they are read; equal for equal arguments.
+
+    Words are drawn with falling frequency: the square of a uniform number times the vocabulary.
+    """
+    draw = lambda i: F.xxhash64(F.col("doc_id"), i, F.lit(seed))
+    u = lambda i: F.shiftrightunsigned(draw(i), 11).cast("double") / F.lit(2.0**53)
+    word = lambda i: F.concat(F.lit("w"), F.floor(u(i) * u(i) * vocabulary).cast("string"))
+    return spark.range(n).withColumnRenamed("id", "doc_id").select("doc_id", F.array_join(F.transform(F.sequence(F.lit(1), F.lit(words)), word), " ").alias("text"))
+
+
 def parquet_docs(spark: SparkSession, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     return spark.read.parquet(path).withColumnsRenamed({id_col: "doc_id", text_col: "text"})
 
@@ -32,9 +45,10 @@ def spread(df: DataFrame) -> DataFrame:
     """df as it is, or dealt out once where it arrives in fewer partitions than there are cores.
 
     A file of one row group is read by one task however many cores there are; tokenizing in that task would
-    leave the others idle. Inputs of many files or row groups are not shuffled.
+    leave the others idle. Only inputs of under SMALL partitions are ever dealt out, into as many as there are cores and
+    SMALL at most, so the texts of a large input are not shuffled on any cluster. Rows are the same either way.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
+    cores = min(SMALL, df.sparkSession.sparkContext.defaultParallelism)
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 

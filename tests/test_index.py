@@ -99,8 +99,18 @@ def test_controller(spark):
     assert len(ids(["hello", "mining"], ranked=True)) == 2
     assert [r.doc_id for r in c.regex_docs("SHAKESPEAR").collect()] == ["6428"]
     assert [r.doc_id for r in c.doc_index_slice().collect()] == ["6428", "1451"]
-    c.merge(docs(spark, DOC3))
-    assert c.get_index("vocab").count() == 58
+    c.merge(docs(spark, DOC3, ("9000", "Zebras say hello")))
+    assert c.get_index("vocab").count() == 60
+    assert ids("hello") == ["6428", "9000"] and ids("zeb*", wildcard=True) == ["9000"] and ids(["inf*", "qatar"], wildcard=True) == ["8888"]
+    assert sorted(ids("hello", ranked=True)) == ["6428", "9000"]
+    assert [r.doc_id for r in c.regex_docs("zebra").collect()] == ["9000"] and [r.doc_id for r in c.doc_index_slice(2).collect()] == ["9000", "8888"]
+    c.merge(docs(spark, ("9000", "hello again")))
+    assert {(r.term, r.cnt) for r in c.get_index("postings").where("doc_id = '9000'").collect()} == {("zebras", 1), ("say", 1), ("hello", 2), ("again", 1)}
+    assert ids("aga*", wildcard=True) == ["9000"] and c.get_index("doc").count() == 4
+    assert "9000" in c.ranked_page("hello")
+    said, lines = [], iter(["hello", "? hello", "zzz", ""])
+    c.interactive(lambda _: next(lines), said.append)
+    assert said[0] == "6428, 9000" and "9000" in said[1] and said[2] == "nothing found"
     with pytest.raises(IndexNotFoundError, match=r"Index\(nothing\) not set"):
         c.get_index("nothing")
     with pytest.raises(TypeError):
@@ -116,7 +126,13 @@ def test_controller(spark):
 
     c.add_indexer("lengths", Lengths())
     c.build(force=True)
-    assert c.get_index("lengths").count() == 2
+    assert c.get_index("lengths").count() == 5
+
+
+def test_generated_documents(spark):
+    one, two = (sorted(readers.generated(spark, 20, words=30).repartition(n).collect()) for n in (1, 5))
+    assert one == two and len(one) == 20 and all(len(r.text.split()) == 30 for r in one)
+    assert len({w for r in one for w in r.text.split()}) > 50
 
 
 def test_sources(spark, tmp_path):

@@ -45,6 +45,7 @@ def test_empty_label_lists(spark):
     assert cells(matrix(spark, [[], None], [[1], []])) == {("1", "1"): 0}
 
 
+# Points whose published clusterings the tests hold on to.
 FLAT = [(1.0, 1.0), (1.0, 2.0), (1.0, 3.0), (6.0, 6.0), (7.0, 6.0)]
 SOLID = [(1, 1, 25), (1, 1, 20), (0, 20, 5), (0, 23, 2), (0, 25, 1), (2, 24, 0), (15, 10, 0), (15, 15, 5), (10, 10, 0)]
 
@@ -87,6 +88,33 @@ def test_sparse_assignment_agrees(spark):
     assert got == {r.id: r.cid for r in model.assign(dense).collect()}
 
 
+def test_bags_of_words_cluster_like_vectors(spark):
+    """To convergence, against dense points; documents that share no word with a centroid included."""
+    rng = random.Random(5)
+    rows = [[rng.randrange(3) if (d < 6) == (i % 2 == 0) else 0 for d in range(12)] for i in range(24)]
+    rows = [r if any(r) else [1] + r[1:] for r in rows]
+    dense = points(spark, rows)
+    for k in (2,):
+        model = kmeans.train(dense, k)
+        long = spark.createDataFrame([(i, d, v) for i, r in enumerate(rows) for d, v in enumerate(r) if v], "doc_id int, dim int, cnt int")
+        assigned, _, history = kmeans.train_sparse(long, k)
+        assert history == pytest.approx(model.history)
+        assert {r.doc_id: r.cid for r in assigned.collect()} == {r.id: r.cid for r in model.assign(dense).collect()}
+
+
+def test_points_without_vectors_are_left_out(spark):
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(FLAT)] + [(8, None), (9, [1.0, None])], "id int, x array<double>")
+    assert kmeans.train(df, 2).rss == pytest.approx(1.5)
+    with pytest.raises(TypeError, match="dimensions"):
+        kmeans.train(df.unionByName(spark.createDataFrame([(10, [1.0])], "id int, x array<double>")), 2)
+
+
+def test_texts_of_counts(spark):
+    cm = matrix(spark, [[0], [1], [1], [0]], [[0], [0], [1], [1]])
+    assert "0         | 1 of 1" in render.false_positives(cm) and "1         | 1 as 0" in render.true_negatives(cm)
+    assert render.true_positives(cm, {"0": "bad", "1": "good"}, ["good", "bad"]).splitlines()[2:] == ["good      | 1", "bad       | 1"]
+
+
 REVIEWS = [("Thanks for sharing", 1), ("Thank you so much", 1), ("Nothing is funny here", -1), ("I do not find it funny", -1), ("That's bad!", -1), ("", 1)]
 
 
