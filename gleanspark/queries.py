@@ -475,11 +475,11 @@ def _perceptron(streams: int) -> str:
     return f"""WITH RECURSIVE lab AS (SELECT doc_id, text, CASE WHEN quality = 1 THEN 1 ELSE -1 END AS label, (('0x' || left(md5(doc_id::VARCHAR), 8))::BIGINT % {streams})::INT AS stream FROM documents JOIN labels USING (doc_id)),
 {_tokens("SELECT doc_id, text FROM lab")}, c AS (SELECT doc_id, term, count(*) AS n FROM toks GROUP BY ALL),
 o AS (SELECT doc_id, label, stream, row_number() OVER (PARTITION BY stream ORDER BY doc_id, label) AS r FROM lab),
-t AS (SELECT stream, r, term, n, {_WEIGHT} AS w FROM c JOIN o USING (doc_id)),
+t AS MATERIALIZED (SELECT stream, r, term, n, {_WEIGHT} AS w FROM c JOIN o USING (doc_id)),
 base AS (SELECT stream, r, sum(n * w) AS b FROM t GROUP BY ALL),
-met AS (SELECT x.stream, x.r AS r, y.r AS j, sum(x.n * y.n)::DOUBLE AS k FROM t x JOIN t y ON x.stream = y.stream AND x.term = y.term AND y.r < x.r GROUP BY ALL),
+met AS MATERIALIZED (SELECT x.stream, x.r AS r, y.r AS j, sum(x.n * y.n)::DOUBLE AS k FROM t x JOIN t y ON x.stream = y.stream AND x.term = y.term AND y.r < x.r GROUP BY ALL),
 kern AS (SELECT x.stream, x.r, list(coalesce(k, 0) ORDER BY y.r) AS ks FROM o x JOIN o y ON x.stream = y.stream AND y.r < x.r LEFT JOIN met ON met.stream = x.stream AND met.r = x.r AND met.j = y.r GROUP BY ALL),
-doc AS (SELECT o.stream, o.r, label, coalesce(b, 0) AS b, ks FROM o LEFT JOIN base USING (stream, r) LEFT JOIN kern USING (stream, r)),
+doc AS MATERIALIZED (SELECT o.stream, o.r, label, coalesce(b, 0) AS b, ks FROM o LEFT JOIN base USING (stream, r) LEFT JOIN kern USING (stream, r)),
 pass(stream, r, alpha) AS (
   SELECT DISTINCT stream, 0::BIGINT, []::DOUBLE[] FROM o
   UNION ALL
