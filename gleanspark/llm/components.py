@@ -29,20 +29,24 @@ def _fold(edges: DataFrame, everyone: bool) -> tuple[DataFrame, list[Cut]]:
     return moved.where("hi <> lo").distinct(), [least]
 
 
+def _is_stars(edges: DataFrame) -> bool:
+    """Whether every node has one smaller neighbour at most, and no smaller neighbour has one itself."""
+    sides = edges.select(F.col("hi").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+    sides = sides.unionByName(edges.select(F.col("lo").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    nodes = sides.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return nodes.where("up + down > 1 and up > 0").agg(F.count("*")).first()[0] == 0
+
+
 def smallest_reachable(links: DataFrame) -> Cut:
     """links(a, b) -> Cut of (node, root) for every node with a link, root = smallest reachable node.
 
     Alternating large-star and small-star steps, each linear in the number of links; rounds grow with
-    the logarithm of the longest chain. Every step is written to the shared folder, so no lineage grows.
+    the logarithm of the longest chain. They end when all links form stars, whose centres are the roots.
+    Every step is written to the shared folder, so no lineage grows.
     """
     pairs = links.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo"))
     now = Cut(pairs.distinct())
-    before = None
-    while True:
-        state = now.df.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
-        if state == before or state[0] == 0:
-            break
-        before = state
+    while not _is_stars(now.df):
         for everyone in (True, False):
             df, extra = _fold(now.df, everyone)
             after = Cut(df)
