@@ -19,7 +19,8 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def written(df: DataFrame, folder: str) -> DataFrame:
+def written(df: DataFrame, folder: str, *by: str) -> DataFrame:
+    """df, with a folder for each value of `by` where that is given."""
     path = os.path.join(folder, f"gleanspark-{uuid.uuid4().hex}")
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=list(by) or None)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -144,6 +144,41 @@ def test_perceptron(spark, compat):
     assert render.weights(weights).startswith("\nterm      | weight\n")
 
 
+@pytest.mark.parametrize("shards", [1, 3])
+def test_perceptron_in_parts(spark, shards):
+    """Many ranges of documents, with ids that repeat and documents without an id or words, learn what one pass learns."""
+    rng = random.Random(7)
+    rows = [(rng.choice([None, *range(40)]), " ".join(f"w{rng.randrange(30)}" for _ in range(rng.randrange(12))), rng.choice([1, -1])) for _ in range(150)]
+    df = spark.createDataFrame(rows, "doc_id int, text string, label int")
+    streams = {}
+    for r in df.withColumn("s", F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 8), 16, 10).cast("long") % shards).collect():
+        streams.setdefault(r.s, []).append(r)
+    expected = {}
+    for part in streams.values():
+        weights = {}
+        for r in sorted(part, key=lambda r: (r.doc_id is not None, r.doc_id, r.label, r.text.split())):
+            for t in r.text.split():
+                weights.setdefault(t, perceptron.first_weight(t))
+            said = 1 if sum(weights[t] for t in r.text.split()) > 0 else -1
+            for t in r.text.split() if said != r.label else []:
+                weights[t] -= 0.7 * said
+        for t, w in weights.items():
+            expected.setdefault(t, []).append(w)
+    got = perceptron.train(df, shards=shards, chunk_bytes=2000)
+    assert {r.term: r.weight for r in got.collect()} == pytest.approx({t: sum(ws) / len(ws) for t, ws in expected.items()})
+
+
+def test_bags_agree_with_columns(spark):
+    from gleanspark.functions import bags
+    from gleanspark.functions import text as T
+
+    texts = ["", None, "a,b\x1cc #x# #x. ... [newline][NEWLINE]z", "[new“line] café [newéline] ÀB \u2028c", 'He said: "No!" no. NO @no \x00 \x85d', "\x0b\x1fq?\x7f # . : #"]
+    for r in spark.createDataFrame([(t,) for t in texts], "text string").select("text", F.transform(T.raw_tokens(F.col("text")), T.normalize).alias("terms")).collect():
+        n, at = bags.placed(r.text.encode() if r.text is not None else None)
+        assert {t.decode(): (n[t], at[t]) for t in n} == {t: (r.terms.count(t), r.terms.index(t)) for t in r.terms}
+        assert bags.counted(r.text.encode() if r.text else None) == n
+
+
 def test_first_weights_agree(spark):
     r = spark.createDataFrame([("the",), ("",)], "t string").select("t", perceptron.first_weight_column(F.col("t")).alias("w")).collect()
     assert all(x.w == pytest.approx(perceptron.first_weight(x.t), abs=1e-15) for x in r)
