@@ -1,16 +1,18 @@
 """K-means by Lloyd steps over array columns, and over sparse bags of words.
 
-points(id, x: array<double>). An iteration is two aggregations over the points; only k x dimensions numbers
-reach the driver, and centroids go back as literals, so lineage doesn't grow.
+points(id, x: array<double>). All steps are one job, whose tasks hold the points and exchange k x dimensions numbers a step.
 """
 
 from __future__ import annotations
 
+import secrets
+import socket
+import tempfile
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
+from pyspark import BarrierTaskContext, StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +20,10 @@ from ..sources.cuts import shared_dir, written
 
 CLOSE = 1e-5
 FIRST_RSS = 1e6
+#: Points that a task takes at once.
+BLOCK = 4096
+#: Bytes of the word by which tasks of one clustering know each other, and seconds in which they must have found each other.
+WORD, JOIN_S = 16, 120
 
 
 def squared_distance(a: Column, b: Column) -> Column:
@@ -88,66 +94,144 @@ def initial(points: DataFrame, k: int, seed: int = 0) -> list[list[float]]:
     return got
 
 
-def _step(points: DataFrame, before: list[list[float]], now: list[list[float]]) -> tuple[float, list[list[float]]]:
-    """One job: the RSS of `now` over the members of `before`, and the means of the members of `now`.
+def _lloyd(points: DataFrame, starts: list[list[list[float]]], max_rounds: int | None) -> list[KMeansModel]:
+    """A model for each start, all in one job.
 
-    Arrow batches are summed in each task; (cluster, place, sum) rows are what is exchanged. Place -1 holds the
-    number of members, -2 the summed distances. A cluster without members keeps its centroid.
+    Its tasks run side by side (a barrier stage), keep their points in a file of their own, and after each step get the sums over all of
+    them through the first task, so a step costs a message and no job, and every task comes to the same end. (Spark's own allGather answers
+    once a second, so it only tells where the first task listens.) Place 0 of a cluster's row holds the summed distances to `now` of the members of `before`, 1 the number of members of `now`. A cluster without members keeps its centroid.
     """
-    old, new = np.array(before), np.array(now)
-    k, dims = new.shape
+    first, close, least = np.array(starts), CLOSE, FIRST_RSS
+
+    def joined(context) -> list[socket.socket]:
+        """Of the first task, connections to all others by their numbers; of another, the one to the first."""
+        me, infos = context.partitionId(), context.getTaskInfos()
+        server = socket.create_server(("", 0)) if me == 0 else None
+        word = secrets.token_bytes(WORD)
+        port, word = context.allGather(f"{server.getsockname()[1]} {word.hex()}" if server else "")[0].split()
+        word = bytes.fromhex(word)
+        if not server:
+            peer = socket.create_connection((infos[0].address.rsplit(":", 1)[0], int(port)), timeout=JOIN_S)
+            peer.sendall(word + me.to_bytes(4))
+            peers = [peer]
+        else:
+            found: dict[int, socket.socket] = {}
+            server.settimeout(JOIN_S)
+            while len(found) < len(infos) - 1:
+                peer, _ = server.accept()
+                peer.settimeout(JOIN_S)
+                said = received(peer, WORD + 4)
+                if said[:WORD] == word:
+                    found[int.from_bytes(said[WORD:])] = peer
+                else:
+                    peer.close()
+            server.close()
+            peers = [found[i] for i in sorted(found)]
+        for peer in peers:
+            peer.settimeout(None)
+            peer.setsockopt(socket.IPPROTO_TCP, socket.TCP_NODELAY, 1)
+        return peers
+
+    def received(peer: socket.socket, size: int) -> bytes:
+        parts = bytearray()
+        while len(parts) < size:
+            if not (some := peer.recv(size - len(parts))):
+                raise ConnectionError("another task of the clustering ended")
+            parts += some
+        return bytes(parts)
+
+    def summed(peers: list[socket.socket], mine: np.ndarray) -> np.ndarray:
+        """The sum over all tasks, which is the same in each."""
+        if BarrierTaskContext.get().partitionId():
+            peers[0].sendall(mine.tobytes())
+            return np.frombuffer(received(peers[0], mine.nbytes)).reshape(mine.shape)
+        total = sum((np.frombuffer(received(p, mine.nbytes)).reshape(mine.shape) for p in peers), mine)
+        for p in peers:
+            p.sendall(total.tobytes())
+        return total
 
     def run(batches):
-        sums, count, rss = np.zeros((k, dims)), np.zeros(k), np.zeros(k)
-        for batch in batches:
-            flat = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
-            for i in range(0, len(flat), 4096):
-                x = flat[i : i + 4096]
-                to_new = np.sqrt(((x[:, None, :] - new[None]) ** 2).sum(axis=2))
-                was = ((x[:, None, :] - old[None]) ** 2).sum(axis=2).argmin(axis=1)
-                cid = to_new.argmin(axis=1)
-                rss += np.bincount(was, weights=to_new[np.arange(len(x)), was], minlength=k)
-                count += np.bincount(cid, minlength=k)
-                np.add.at(sums, cid, x)
-        table = np.hstack([rss[:, None], count[:, None], sums])
-        cids, places = np.divmod(np.arange(table.size), dims + 2)
-        yield pa.RecordBatch.from_arrays([pa.array(cids.astype(np.int32)), pa.array((places - 2).astype(np.int32)), pa.array(table.ravel())], names=["cid", "pos", "v"])
-
-    summed = points.select("x").mapInArrow(run, "cid int, pos int, v double").groupBy("cid", "pos").agg(F.sum("v").alias("v"))
-    got = np.zeros((k, dims + 2))
-    for r in summed.collect():
-        got[r.cid, r.pos + 2] = r.v
-    means = [[float(v) for v in got[i, 2:] / got[i, 1]] if got[i, 1] else now[i] for i in range(k)]
-    return float(got[:, 0].sum()) / k, means
-
-
-def train(points: DataFrame, k: int, seed: int = 0, max_rounds: int | None = None) -> KMeansModel:
-    """Steps until the mean over clusters of summed distances changes by less than CLOSE (or max_rounds).
-
-    The RSS of a step is known one job later, together with the next step's means, so each step is one job.
+        context = BarrierTaskContext.get()
+        s, k, dims = first.shape
+        with tempfile.TemporaryFile() as file:
+            for batch in batches:
+                column = batch.column(0)
+                if len(flat := column.flatten()) != len(column) * dims:
+                    raise ValueError("points differ in dimensions")
+                file.write(flat.to_numpy(zero_copy_only=False).tobytes())
+            file.flush()
+            n = file.tell() // (8 * dims)
+            x = np.memmap(file, np.float64, "r", shape=(n, dims)) if n else np.zeros((0, dims))
+            cids = np.zeros((s, n), np.int32)
+
+            def step(i: int, now: np.ndarray) -> np.ndarray:
+                table = np.zeros((k, dims + 2))
+                for at in range(0, n, BLOCK):
+                    some = x[at : at + BLOCK]
+                    far = np.empty((len(some), k))
+                    for c in range(k):
+                        gap = some - now[c]
+                        far[:, c] = np.sqrt(np.einsum("ij,ij->i", gap, gap))
+                    was, cid = cids[i, at : at + BLOCK], far.argmin(axis=1)
+                    table[:, 0] += np.bincount(was, weights=far[np.arange(len(some)), was], minlength=k)
+                    table[:, 1] += np.bincount(cid, minlength=k)
+                    table[:, 2:] += (cid == np.arange(k)[:, None]).astype(float) @ some
+                    cids[i, at : at + BLOCK] = cid
+                return table
+
+            before, now, last = first.copy(), first.copy(), np.full(s, least)
+            history: list[list[float]] = [[] for _ in range(s)]
+            active, begun, peers = list(range(s)), False, joined(context)
+            while active:
+                mine = np.array([step(i, now[i]) for i in active])
+                for i, t in zip(list(active), summed(peers, mine)):
+                    rss, members = float(t[:, 0].sum()) / k, t[:, 1:2]
+                    if begun:  # the first step has no members before it
+                        history[i].append(rss)
+                        if abs(last[i] - rss) < close or len(history[i]) == max_rounds:
+                            active.remove(i)
+                            continue
+                        last[i] = rss
+                    before[i], now[i] = now[i], np.where(members > 0, t[:, 2:] / np.maximum(members, 1), now[i])
+                begun = True
+            for peer in peers:
+                peer.close()
+            if context.partitionId() == 0:
+                rows = zip(range(s), (v.ravel().tolist() for v in now), (v.ravel().tolist() for v in before), history)
+                yield pa.RecordBatch.from_pydict(dict(zip(("start", "now", "before", "history"), map(list, zip(*rows)))))
+
+    spark = points.sparkSession
+    dealt = points.select("x").repartition(spark.sparkContext.defaultParallelism)
+    found = dealt.mapInArrow(run, "start long, now array<double>, before array<double>, history array<double>", barrier=True).collect()
+    shape = first.shape[1:]
+    return [KMeansModel(np.reshape(r.now, shape).tolist(), np.reshape(r.before, shape).tolist(), r.history[-1], list(r.history)) for r in sorted(found, key=lambda r: r.start)]
+
+
+def train_all(points: DataFrame, k: int, seeds: list[int], max_rounds: int | None = None) -> list[KMeansModel]:
+    """For each seed, steps until the mean over clusters of summed distances changes by less than CLOSE (or max_rounds).
+
+    The RSS of a step is known one step later, together with the next means.
     """
     # Points without a vector, or with a null in it, are nowhere: they are left out.
     whole = points.where(F.col("x").isNotNull() & ~F.exists("x", lambda v: v.isNull()))
     kept = whole.select("id", F.transform("x", lambda v: v.cast("double")).alias("x")).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        before = initial(kept, k, seed)
-        if not kept.where(F.size("x") != len(before[0])).isEmpty():
-            raise TypeError(f"all points need {len(before[0])} dimensions, as the first has")
-        now = _step(kept, before, before)[1]
-        last, history = FIRST_RSS, []
-        while True:
-            rss, after = _step(kept, before, now)
-            history.append(rss)
-            if abs(last - rss) < CLOSE or len(history) == max_rounds:
-                return KMeansModel(now, before, rss, history)
-            last, before, now = rss, now, after
+        starts = [initial(kept, k, seed) for seed in seeds]
+        dims = len(starts[0][0])
+        if not kept.where(F.size("x") != dims).isEmpty():
+            raise TypeError(f"all points need {dims} dimensions, as the first has")
+        return _lloyd(kept, starts, max_rounds)
     finally:
         kept.unpersist()
 
 
+def train(points: DataFrame, k: int, seed: int = 0, max_rounds: int | None = None) -> KMeansModel:
+    return train_all(points, k, [seed], max_rounds)[0]
+
+
 def best_of(points: DataFrame, k: int, seeds: int = 3) -> tuple[int, KMeansModel]:
     """(seed, model) with the least RSS of seeds 0..seeds-1, the first of equals."""
-    models = [(s, train(points, k, s)) for s in range(seeds)]
+    models = enumerate(train_all(points, k, list(range(seeds))))
     return min(models, key=lambda m: (m[1].rss, m[0]))
 
 

@@ -69,6 +69,19 @@ def test_kmeans_published_values(spark):
     assert best.rss <= 20.93469202522199 and best.rss == min(kmeans.train(solid, 3, s).rss for s in range(3))
 
 
+def test_all_steps_of_all_seeds_are_one_job(spark):
+    """As many jobs for a hundred rounds as for one."""
+    rng = random.Random(11)
+    p = points(spark, [[rng.random() for _ in range(3)] for _ in range(400)])
+    tracker, jobs, rounds = spark.sparkContext.statusTracker(), [], []
+    for most in (1, None):
+        spark.sparkContext.setJobGroup(f"rounds-{most}", "")
+        rounds.append(sum(len(m.history) for m in kmeans.train_all(p, 5, [0, 1, 2], most)))
+        jobs.append(len(tracker.getJobIdsForGroup(f"rounds-{most}")))
+    spark.sparkContext._jsc.clearJobGroup()
+    assert rounds[0] == 3 and rounds[1] > 20 and jobs[0] == jobs[1]
+
+
 def test_kmeans_edges(spark):
     with pytest.raises(TypeError):
         kmeans.train(points(spark, FLAT), 6)
