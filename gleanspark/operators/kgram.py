@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -27,6 +27,21 @@ def words_count(grams: DataFrame) -> int:
     return grams.count()
 
 
+def holds(term: Column, pattern: str, k: int = 2) -> Column:
+    """Whether expand() of a vocabulary that has the term gives it, told from the term alone."""
+    wanted = sorted(set(T.wildcard_grams(pattern, k)))
+    if not wanted:
+        return F.lit(False)
+    # Every gram of a term stands in the marked term; two letters of it are always a gram, unless it is empty.
+    marked = F.concat(F.lit(T.MARK), term, F.lit(T.MARK))
+    found = ~T.is_ignored(term)
+    for g in wanted:
+        found = found & F.contains(marked, F.lit(g))
+    if k == 2 and all(len(g) == 2 for g in wanted):
+        return found & (term != "")
+    return found & (F.size(F.array_intersect(T.grams(term, k), F.array(*[F.lit(g) for g in wanted]))) == len(wanted))
+
+
 def expand_all(grams: DataFrame, patterns: dict[int, str], k: int = 2) -> DataFrame:
     """(q_ord, term): the expansions of numbered patterns in one pass over the grams that any of them holds."""
     wanted = {i: sorted(set(T.wildcard_grams(p, k))) for i, p in patterns.items()}

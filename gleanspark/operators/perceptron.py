@@ -8,6 +8,7 @@ and averages their weights term by term.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 from functools import reduce
 from itertools import batched, count, groupby
 
@@ -203,9 +204,16 @@ def train(docs: DataFrame, compat: bool = False, shards: int = 1, chunk_bytes: i
     return got if shards == 1 else got.groupBy("term").agg(F.avg("weight").alias("weight"))
 
 
-def predict(docs: DataFrame, weights: DataFrame) -> DataFrame:
-    """(doc_id, total, label): 1 where the summed weights of all token occurrences are over 0, else -1; unknown terms weigh 0."""
-    known = index.tokens(docs).join(weights, "term").groupBy("doc_id").agg(F.sum("weight").alias("total"))
+def _weighed(rows: DataFrame, weights: DataFrame | Callable[[Column], Column]) -> DataFrame:
+    return rows.withColumn("weight", weights(F.col("term"))) if callable(weights) else rows.join(weights, "term")
+
+
+def predict(docs: DataFrame, weights: DataFrame | Callable[[Column], Column]) -> DataFrame:
+    """(doc_id, total, label): 1 where the summed weights of all token occurrences are over 0, else -1; unknown terms weigh 0.
+
+    weights are a table (term, weight), or what makes a weight of a term, which needs no join.
+    """
+    known = _weighed(index.bags(docs), weights).groupBy("doc_id").agg(F.sum(F.col("cnt") * F.col("weight")).alias("total"))
     all_ids = docs.select("doc_id").distinct()
     total = F.coalesce("total", F.lit(0.0))
     return all_ids.join(known, "doc_id", "left").select("doc_id", total.alias("total"), F.when(total > 0, 1).otherwise(-1).alias("label"))
@@ -224,5 +232,5 @@ def extreme(weights: DataFrame, n: int = 10, order: int = 1) -> DataFrame:
     return by.limit(n + 1) if n > 0 else by
 
 
-def with_df(weights: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    return weights.join(vocabulary.select("term", "df"), "term")
+def with_df(weights: DataFrame | Callable[[Column], Column], vocabulary: DataFrame) -> DataFrame:
+    return _weighed(vocabulary.select("term", "df"), weights).select("term", "weight", "df")

@@ -43,8 +43,8 @@ def query_terms(posts: DataFrame, grams: DataFrame | None, query: list[str], wil
 def matches(posts: DataFrame, query: str | list[str], grams: DataFrame | None = None, wildcard: bool = False, mode: str = "and") -> DataFrame:
     """(doc_id) of documents with every entry ("and") or any entry ("or").
 
-    Literal entries become a filter that reaches the postings; expansions join, and the planner broadcasts
-    them where they are small. One aggregation by document decides.
+    Literal entries become a filter that reaches the postings. Without a gram index a pattern does too, as a term alone
+    tells whether it is an expansion; with one, the postings that the filter leaves join what the index gives. One aggregation by document decides.
     """
     asked = entries(query)
     need = len(asked) if mode == "and" else 1
@@ -55,8 +55,12 @@ def matches(posts: DataFrame, query: str | list[str], grams: DataFrame | None =
         hit = posts.where(F.col("term").isin(list(by)))
         # Entries that are equal as terms hold together.
         return hit.groupBy("doc_id").agg(F.countDistinct("term").alias("n")).where(F.col("n") >= (len(by) if mode == "and" else 1)).select("doc_id")
-    q = query_terms(posts, grams, asked, wildcard)
-    hit = posts.select("term", "doc_id").join(q, "term")
+    fits = [kgram.holds(F.col("term"), q) if "*" in q else F.col("term") == T.normalize_text(q) for q in asked]
+    hit = posts.select("term", "doc_id").where(reduce(lambda a, b: a | b, fits))
+    if grams is None:
+        met = hit.groupBy("doc_id").agg(*[F.max(f).alias(f"__{i}") for i, f in enumerate(fits)])
+        return met.where(reduce(lambda a, b: a & b if mode == "and" else a | b, [F.col(f"__{i}") for i in range(len(fits))])).select("doc_id")
+    hit = hit.join(query_terms(posts, grams, asked, wildcard), "term")
     return hit.groupBy("doc_id").agg(F.countDistinct("q_ord").alias("n")).where(F.col("n") >= need).select("doc_id")
 
 

@@ -72,6 +72,74 @@ def test_repeated_ids_add_up(spark):
     assert index.doc_index(d.withColumn("n", F.monotonically_increasing_id()), F.col("n")).count() == 2
 
 
+def exchanged(df):
+    """Operators that deal rows out, as the plan says before it runs."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [line.strip() for line in plan.splitlines() if "Exchange hash" in line]
+
+
+ODD = [("a", "one two two"), ("b", "two $three"), (None, "one four"), ("c", None), ("d", "One, . # four$ ti"), ("e", "four five https://x.tion"), ("b", "three one two")]
+
+
+@pytest.mark.parametrize("most", [index.MOST_SHARED, 0])
+def test_vocabulary_of_documents_is_that_of_their_postings(spark, monkeypatch, most):
+    """With ids that are shared, missing, and too many to tell apart."""
+    monkeypatch.setattr(index, "MOST_SHARED", most)
+    for rows in (ODD, ODD + [(None, "one six")], ODD[:2], []):
+        d = spark.createDataFrame(rows, "doc_id string, text string")
+        plain = index.tokens(d).groupBy("term", "doc_id").agg(F.count("*").alias("cnt"), F.min("pos").alias("first_pos"))
+        posts = index.postings(d)
+        assert sorted(posts.select("term", "doc_id", "cnt", "first_pos").collect(), key=repr) == sorted(plain.collect(), key=repr)
+        assert sorted(index.vocabulary(d).collect(), key=repr) == sorted(index.vocab(plain, d).collect(), key=repr)
+        assert sorted(index.vocabulary(d, places=False).collect(), key=repr) == sorted(index.vocab(plain, d).drop("first_at").collect(), key=repr)
+        assert {r.term for r in index.terms(d).collect()} == {r.term for r in plain.collect()}
+        few, every = (index.first_postings(x, 2).collect() for x in (index.postings(d, first=2), posts))
+        assert sorted(few, key=repr) == sorted(every, key=repr)
+
+
+def test_only_documents_that_share_an_id_are_exchanged(spark):
+    d = docs(spark, *[(str(i), f"w{i % 7} two") for i in range(30)])
+    assert exchanged(index.postings(d)) == [] and len(exchanged(index.postings(d.union(d.limit(1))))) > 0
+    posts = index.postings(d)
+    new = spark.createDataFrame([("99", "w1 x"), ("3", "two")], "doc_id string, text string")
+    merged = index.merge(posts, index.vocabulary(d), new)[0]
+    expected = {(r.term, r.doc_id): r.cnt for r in index.postings(d.unionByName(new)).collect()}
+    assert {(r.term, r.doc_id): r.cnt for r in merged.collect()} == expected
+
+
+def test_few_frequent_terms_and_many_rare_ones(spark, monkeypatch):
+    d = docs(spark, *[(str(i), f"the w{i} w{i % 3}") for i in range(20)])
+    posts, terms = index.postings(d), index.vocabulary(d)
+    every = sorted(index.document_vectors(posts, terms).collect())
+    monkeypatch.setattr(index, "FREQUENT", 2)
+    assert sorted(index.document_vectors(posts, terms).collect()) == every and len(every) == posts.count()
+
+
+def test_a_term_alone_tells_its_patterns(spark):
+    from gleanspark.operators import kgram, search
+
+    terms = spark.createDataFrame([(t,) for t in ("", "$", "a", "tion", "nation", "ti$on", "on$", "that", "th", "https:tion", "hth", "$th", "a.b", "ab")], "term string")
+    posts = terms.select("term", F.col("term").alias("doc_id"))
+    for k in (2, 3):
+        grams = kgram.gram_index(terms, k)
+        for p in ("*tion", "th*", "*", "**", "*a*", "a*", "*n$", "*$*", "$*", "t*n", "a.*", "*.b", "#*", "", "th*n"):
+            assert {r.term for r in terms.where(kgram.holds(F.col("term"), p, k)).collect()} == {r.term for r in kgram.expand(grams, p, k).collect()}, (k, p)
+    grams = kgram.gram_index(terms)
+    for asked in (["th*", "*h"], ["*tion", "that"], ["*"], ["That,", "th*", "*tion"]):
+        for mode in ("and", "or"):
+            assert {r.doc_id for r in search.matches(posts, asked, None, True, mode).collect()} == {r.doc_id for r in search.matches(posts, asked, grams, True, mode).collect()}
+    assert "Join" not in search.matches(posts, ["th*", "*tion"], wildcard=True)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_merge_builds_only_what_is_asked_for(spark):
+    c = Controller(docs(spark, DOC1, DOC2))
+    c.merge(docs(spark, DOC3))
+    assert c._built == {}
+    assert [r.doc_id for r in c.query_intersection(["inf*", "qatar"], wildcard=True).collect()] == ["8888"] and set(c._built) == {"postings"}
+    assert c.get_index("kgram").count() == c.get_index("kgram").distinct().count() > 0
+    assert {r.term for r in c.get_index("kgram").collect()} == {r.term for r in c.get_index("vocab").collect()}
+
+
 def test_empty_term_null_and_empty_text(spark):
     d = docs(spark, ("a", ". x #"), ("b", None), ("c", ""), ("d", "café bar"))
     got = {(r.term, r.doc_id): r.cnt for r in index.postings(d).collect()}

@@ -197,6 +197,29 @@ def test_first_weights_agree(spark):
     assert all(x.w == pytest.approx(perceptron.first_weight(x.t), abs=1e-15) for x in r)
 
 
+def test_predictions_by_table_and_by_function(spark):
+    df = spark.createDataFrame([(1, "one two two"), (2, "two"), (2, "three one"), (3, None), (None, "two one")], "doc_id int, text string")
+    from gleanspark.operators import index
+
+    table = index.terms(df).select("term", perceptron.first_weight_column(F.col("term")).alias("weight"))
+    by = [perceptron.predict(df, w) for w in (table, perceptron.first_weight_column)]
+    one, two = ({r.doc_id: (round(r.total, 9), r.label) for r in d.collect()} for d in by)
+    assert one == two and set(one) == {1, 2, 3, None}
+    assert by[1]._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+    posts = index.vocabulary(df)
+    assert sorted(perceptron.with_df(table, posts).collect()) == sorted(perceptron.with_df(perceptron.first_weight_column, posts).collect())
+
+
+def test_stream_adds_up_only_documents_in_several_segments(spark, tmp_path):
+    stream = IndexStream(spark, f"file://{tmp_path}/s")
+    for i in range(3):
+        stream.upsert(spark.createDataFrame([(10 * i, "one two two"), (10 * i + 1, "two")], "doc_id long, text string"), i)
+    assert "Aggregate" not in stream.current()._jdf.queryExecution().executedPlan().toString()
+    assert stream.current().count() == 9
+    stream.upsert(spark.createDataFrame([(10, "two")], "doc_id long, text string"), 3)
+    assert {(r.term, r.doc_id): r.cnt for r in stream.current().where("doc_id = 10").collect()} == {("one", 10): 1, ("two", 10): 3}
+
+
 def test_stream_equals_batch_and_replays(spark, tmp_path):
     from gleanspark.operators import index
 
