@@ -10,6 +10,7 @@ a wider complete one is ignored, and removed later, so a batch or a merge that i
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
@@ -54,13 +55,17 @@ class IndexStream:
         return sorted((s for s in found if not any(t.holds(s) for t in found)), key=lambda s: s.first)
 
     def _sum(self, segments: list[Segment]) -> DataFrame:
-        rows = self.spark.read.schema(SCHEMA).parquet(*map(self._of, segments))
-        return rows.groupBy("term", "doc_id").agg(F.sum("cnt").alias("cnt"))
+        """Postings of documents that stand in several segments add up; all others pass as they are. Reads the ids at once."""
+        parts = [self.spark.read.schema(SCHEMA).parquet(self._of(s)) for s in segments]
+        every = reduce(DataFrame.unionByName, parts)
+        own, shared = index.apart(every, reduce(DataFrame.unionByName, [p.select("doc_id").distinct() for p in parts]))
+        added = shared.groupBy("term", "doc_id").agg(F.sum("cnt").alias("cnt")) if shared is not None else None
+        return index.together(own, added)
 
     def upsert(self, docs: DataFrame, batch: int) -> None:
         if any(s.level and s.first <= batch <= s.last for s in self._complete()):
             return  # run again, after its segment was merged
-        counted = index.tokens(docs).groupBy("term", F.col("doc_id").cast("long").alias("doc_id")).agg(F.count("*").alias("cnt"))
+        counted = index.postings(docs.withColumn("doc_id", F.col("doc_id").cast("long"))).select("term", "doc_id", "cnt")
         counted.write.mode("overwrite").parquet(self._of(Segment(0, batch, batch)))
         self._compact()
 
