@@ -94,6 +94,12 @@ def initial(points: DataFrame, k: int, seed: int = 0) -> list[list[float]]:
     return got
 
 
+def _slots(spark) -> int:
+    """How many tasks run side by side; a barrier stage of more would not start, whatever spark.default.parallelism says."""
+    jvm = spark.sparkContext._jsc.sc()
+    return max(1, min(spark.sparkContext.defaultParallelism, jvm.maxNumConcurrentTasks(jvm.resourceProfileManager().defaultResourceProfile())))
+
+
 def _lloyd(points: DataFrame, starts: list[list[list[float]]], max_rounds: int | None) -> list[KMeansModel]:
     """A model for each start, all in one job.
 
@@ -201,7 +207,7 @@ def _lloyd(points: DataFrame, starts: list[list[list[float]]], max_rounds: int |
                 yield pa.RecordBatch.from_pydict(dict(zip(("start", "now", "before", "history"), map(list, zip(*rows)))))
 
     spark = points.sparkSession
-    dealt = points.select("x").repartition(spark.sparkContext.defaultParallelism)
+    dealt = points.select("x").repartition(_slots(spark))
     found = dealt.mapInArrow(run, "start long, now array<double>, before array<double>, history array<double>", barrier=True).collect()
     shape = first.shape[1:]
     return [KMeansModel(np.reshape(r.now, shape).tolist(), np.reshape(r.before, shape).tolist(), r.history[-1], list(r.history)) for r in sorted(found, key=lambda r: r.start)]
